@@ -140,8 +140,13 @@ def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((prefix[ends] - prefix[starts]) * _power(len(prefix), True)[starts] + (ends - starts).astype(np.uint64))
 
 
+def letter_values(raw: np.ndarray) -> np.ndarray:
+    """A random odd 64-bit value for each byte."""
+    return _LETTERS[raw]
+
+
 def byte_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_hash(_LETTERS[raw]), starts, ends)
+    return range_hash(prefix_hash(letter_values(raw)), starts, ends)
 
 
 _GRAM = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanweft.llm import byte_bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sharding, token_output
+from scanweft.llm import byte_bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_output
 from scanweft.llm.shared import table
 
 
@@ -29,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,

@@ -1,25 +1,61 @@
 """Encoding with the tokenizers library, each distinct stretch once.
 
-Both tokenizers split text before any merge, and no split ever spans the place before a single space
-that stands between two non-spaces. So a text is cut there, every distinct piece is encoded by the
-library once per worker, and the ids of a text are the joined ids of its pieces. A text in which spaces
-meet other white space is encoded as a whole. Workers load the tokenizer from its file; nothing is sent.
+Both kinds of tokenizer split text before any merge, and no split ever spans the place before a single
+space between two non-spaces. So a text is cut at such spaces, a worker remembers the ids of every piece,
+and the ids of a text are the joined ids of its pieces. A new piece is split by the tokenizer's own
+pattern, and its words are merged by the library's model. Pieces with characters beyond Latin-1, and
+texts in which spaces meet other white space, go through the library as a whole, as does every text of a
+tokenizer of another kind. Workers load the tokenizer from its file; nothing is sent to them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 import numpy as np
+import regex
 
-#: Entries that a worker remembers; beyond, it forgets all and starts again, so its memory is bounded.
+#: Entries of each kind that a worker remembers, so memory is bounded.
 REMEMBERED = 400_000
+#: Characters that are their own NFC form and whose lower case depends on no neighbour.
+PLAIN = re.compile(r"[\t\n\x20-\x7eÀ-ÿ]*")
+#: The split of byte-level tokenizers that name none.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
+def byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: itself if visible, else from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(256, 512))
+    return "".join(chr(b) if b in visible else chr(next(hidden)) for b in range(256))
+
+
+class _Pieces(dict):
+    """piece -> its ids as bytes, filled on demand until full. After many misses it forgets all, so that it follows
+    a change of language."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.misses = make, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.make(piece)
+        if len(self) < REMEMBERED:
+            self[piece] = ids
+        else:
+            self.misses += 1
+            if self.misses > 4 * REMEMBERED:
+                self.clear()
+                self.misses = 0
+        return ids
+
+
 class Encoder:
-    """ids(text) as little-endian bytes of `dtype`. separator: a piece that always makes a token of its own."""
+    """Ids of texts as little-endian bytes of `dtype`."""
 
     def __init__(self, path: str, dtype: str = "<u4"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,63 +64,61 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.dtype, self.known = np.dtype(dtype), {}
-        self.drops_space = self.library.encode("a b", add_special_tokens=False).ids == [x for w in "ab" for x in self.library.encode(w, add_special_tokens=False).ids]
-        self.lead = "" if self.drops_space else " "
-        self.mark = " | " if self.drops_space else "\n"
-        self.mark_id = self.library.encode(self.mark, add_special_tokens=False).ids
-        assert len(self.mark_id) == 1, "the separator must be one token"
+        self.dtype, self.code, self.model, self.table = np.dtype(dtype), {2: "H", 4: "I"}[np.dtype(dtype).itemsize], self.library.model, dict(enumerate(byte_letters()))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        normal, split = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+        steps = [s["type"] for s in (normal or {}).get("normalizers", [])]
+        stages = split.get("pretokenizers", [])
+        self.kind = ""
+        if normal is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]:
+            self.kind, self.split = "spaced", regex.compile(BYTE_LEVEL)
+        elif steps == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in stages] == ["Split", "ByteLevel"] and stages[0]["behavior"] == "Removed" and stages[0]["invert"] and not stages[1]["use_regex"] and not stages[1]["add_prefix_space"]:
+            self.kind, self.split = "unspaced", regex.compile(stages[0]["pattern"]["Regex"])
+        self.words = _Pieces(self._merge)
+        self.first = _Pieces(self._piece)
+        self.later = self.first if self.kind == "unspaced" else _Pieces(lambda p: self._piece(" " + p))
         self.odd = re.compile(r"(?:^|\s) | (?:\s|$)")
-        self.parts = re.compile(r"[\s|]")
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes many pieces in a few calls: they are joined by the separator and the ids cut at its id."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        plain, other = [], []
-        for p in pieces:
-            (plain if p and not self.parts.search(p) else other).append(p)
-        for i in range(0, len(plain), 2000):
-            group = plain[i : i + 2000]
-            ids = np.array(self.library.encode(self.mark.join(self.lead + p for p in group), add_special_tokens=False).ids, dtype=self.dtype)
-            cuts = np.flatnonzero(ids == self.mark_id[0])
-            if len(cuts) != len(group) - 1:
-                other += group
-                continue
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            ends = [*(cuts * size).tolist(), len(raw)]
-            at = 0
-            for p, end in zip(group, ends, strict=True):
-                self.known[p] = raw[at:end]
-                at = end + size
-        for p, ids in zip(other, self.whole([self.lead + p for p in other]), strict=True):
-            self.known[p] = ids
+
+    def _merge(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        low = piece.lower() if self.kind == "unspaced" else piece
+        if piece.isascii():
+            word, end = (low[:-1], low[-1]) if low.endswith((",", ".")) else (low, "")
+            if (word[1:] if word[:1] == " " else word).isalpha():  # as the patterns split it
+                return self.words[word] + self.words[end] if end else self._merge(word)
+        elif not PLAIN.fullmatch(piece):
+            return self.whole(piece)
+        found = self.split.findall(low)
+        if len(found) == 1:
+            return self._merge(found[0])  # the piece itself is remembered
+        return b"".join([self.words[w] for w in found])
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def text(self, text: str) -> bytes:
+        if self.kind == "unspaced":
+            return b"".join(map(self.first.__getitem__, text.split(" ")))
+        if self.kind == "spaced" and not self._spaces_meet(text):
+            first, *rest = text.split(" ")
+            return self.first[first] + b"".join(map(self.later.__getitem__, rest))
+        return self.whole(text)
+
+    def _spaces_meet(self, text: str) -> bool:
+        """Whether a space stands at an end or beside white space; a quick look settles most texts."""
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return True
+        if text.isascii() and not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
+            return " \n" in text or "\n " in text
+        return self.odd.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        cut = {}
-        for i, t in enumerate(texts):
-            if self.drops_space or not self.odd.search(t):
-                cut[i] = t.split(" ")
-        first = {} if self.drops_space else {i: p.pop(0) for i, p in cut.items()}
-        new = list(set().union(*cut.values()).difference(self.known))
-        if len(new) > REMEMBERED // 2:
-            if len(texts) > 1:
-                half = len(texts) // 2
-                return self.encode(texts[:half]) + self.encode(texts[half:])
-            return self.whole(texts)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*cut.values()))
-        self.learn(new)
-        heads = dict(zip(first, self.whole(list(first.values())), strict=True))
-        rest = [i for i in range(len(texts)) if i not in cut]
-        others = dict(zip(rest, self.whole([texts[i] for i in rest]), strict=True))
-        get = self.known.__getitem__
-        return [others[i] if i in others else heads.get(i, b"") + b"".join(map(get, cut[i])) for i in range(len(texts))]
+        return [self.text(t) for t in texts]
 
 
 def encoder(path: str, dtype: str = "<u4") -> Encoder:

@@ -24,23 +24,28 @@ COUNT = np.array([1, *(c for c, _ in FIELDS)], np.int64)
 WIDTH = np.array([64, *(b for _, b in FIELDS)], np.int64)
 
 
-def _selectors(ids: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """For a word that starts at any id: the selector that takes most ids. room: ids left in its block."""
-    n = len(ids)
-    best = np.zeros(n, np.int8)
-    todo = np.ones(n, bool)
-    here = np.arange(n)
-    for selector, (count, bits) in enumerate(FIELDS, 1):
-        large = ids >= np.uint64(1 << bits)
-        if not large.any():
-            following = np.full(n, n)
-        else:
-            following = np.minimum.accumulate(np.where(large, here, n)[::-1])[::-1]
-        fits = following - here >= np.minimum(count, room)
-        best[todo & fits] = selector
-        todo &= ~fits
-        if not todo.any():
-            break
+def _all_of(small: np.ndarray, count: int) -> np.ndarray:
+    """Whether each place and the count - 1 after it are small; columns beyond the last count as small."""
+    out, size, at = None, 1, 0
+    while True:
+        if count & size:
+            part = small[:, at:]
+            out = part if out is None else out[:, : part.shape[1]] & part
+            at += size
+        size *= 2
+        if size > count:
+            return out
+        small = small[:, : -size // 2] & small[:, size // 2 :]
+
+
+def _selectors(rows: np.ndarray) -> np.ndarray:
+    """For a word that starts at any id: the selector that takes most ids. rows: a block each, filled up with zeros."""
+    blocks, block = rows.shape
+    best = np.zeros((blocks, block), np.int8)
+    for selector, (count, bits) in reversed(list(enumerate(FIELDS, 1))):
+        small = np.ones((blocks, block + 64), bool)
+        small[:, :block] = rows < np.uint64(1 << bits)
+        best[_all_of(small, count)[:, :block]] = selector
     return best
 
 
@@ -49,7 +54,9 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     n = len(ids)
     blocks = -(-n // block)
     room = np.minimum(block * (np.arange(n) // block + 1), n) - np.arange(n)
-    selector = _selectors(ids, room) if n else np.zeros(0, np.int8)
+    rows = np.zeros(blocks * block, np.uint64)
+    rows[:n] = ids
+    selector = _selectors(rows.reshape(blocks, block)).ravel()[:n] if n else np.zeros(0, np.int8)
     at, owner = np.arange(blocks) * block, np.arange(blocks)
     end = np.minimum(at + block, n)
     begun, of = [], []

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanweft.llm.shared import buffer_of, steps, stored
+from scanweft.llm.shared import bound_batches, buffer_of, steps, stored
 from scanweft.llm.text_features import COUNTS, features
 
 #: Labelled documents that the model is fitted to, at most.
@@ -75,6 +75,7 @@ def fit(counts: dict[str, np.ndarray], good: np.ndarray, ridge: float = 1.0) ->
 
 def counted(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with its texts replaced by their COUNTS."""
+    bound_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name != text_col]
     at = docs.columns.index(text_col)
 
@@ -100,6 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def evidenced(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with the log odds of each text as a further column."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

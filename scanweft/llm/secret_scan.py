@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweft.llm.shared import arrow_rows, buffer_of, steps, texts
+from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, steps, texts
 
 KINDS = ["assign", "access", "hex", "literal"]
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -179,6 +179,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets in text_col replaced; texts without any, and null texts, stay as they are."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweft.llm.shared import mix, shared_dir
+from scanweft.llm.shared import bound_batches, mix, shared_dir
 
 SHUFFLED = "doc_id long, text string, grown_shard int, shard int, sub int, pos long"
 #: Bytes of text in a bucket; a task holds a bucket about three times while it shuffles it.
@@ -60,6 +60,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int =
         return pd.DataFrame({"shard": jump_hash(keys, shards), "grown_shard": jump_hash(keys, shards + 1)})
 
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     subs = max(1, -(-int(total) // (shards * bucket_bytes)))

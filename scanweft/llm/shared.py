@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+
+#: Bytes of an Arrow batch from Spark, about.
+BATCH_BYTES = 4 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,12 +51,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows of texts go to Python in batches of a few MB: at the default of 64 MB, buffers of two tasks and their
+    copies on both sides take a good part of a small executor. A lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The named columns and the text as string, null as empty; other columns of docs never meet operator columns."""
+    bound_batches(docs.sparkSession)
     return docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 

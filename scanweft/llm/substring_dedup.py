@@ -1,9 +1,9 @@
 """Substring dedup by FM-indexes (operator 4): removes every word in a window of words that starts elsewhere too.
 
 1. Scan one: in every window the 8-word gram of the least hash, the leftmost if tied, is its anchor. Equal
-   windows have equal anchors at equal places. The windows around one anchor are a segment, a row of
-   hashes and places, partitioned and sorted by anchor; segments whose anchor stands nowhere else hold
-   no repeated window and go at once.
+   windows have equal anchors at equal places. The windows around one anchor are a segment; equal segments
+   of a step's texts are one row of hashes and places, and rows are partitioned and sorted by anchor. Segments
+   whose anchor stands nowhere else hold no repeated window and go at once.
 2. Equal segments are one with a number of times. Their words are fetched, once for each distinct segment.
 3. Segments are dealt by anchor into shards sized for memory, so all occurrences of a window are in one
    shard. Each shard is an FM-index; every segment is streamed against it backward, and windows whose
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanweft.llm.fm_index import FMIndex
-from scanweft.llm.shared import arrow_rows, buffer_of, gram_hash, letter_values, prefix_hash, range_hash, steps, stored, words_of
+from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, gram_hash, letter_values, prefix_hash, range_hash, steps, stored, words_of
 
 WINDOW, GRAM = 35, 8
 #: Distinct segments of an anchor beyond which its windows are counted by hash.
@@ -93,7 +93,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their first column: those whose value stands in two rows or more."""
+    """Of rows sorted by their first column: those whose value stands in two rows or more, or that count for several."""
     waiting, sent = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -103,16 +103,17 @@ def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         key = batch.column(0).to_numpy()
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
-        keep = np.repeat(size > 1, size) | (key == sent if sent is not None else False)
+        keep = np.repeat(size > 1, size) | (key == sent if sent is not None else False) | (batch.column("times").to_numpy() > 1)
         waiting = None if keep[-1] else batch.slice(len(key) - 1)
         sent = key[-1] if keep[-1] else None
         if keep.any():
             yield batch.filter(pa.array(keep))
 
 
-_FOUND = {"anchor": pa.int64(), "content": pa.int64(), "id": pa.int64(), "mark": pa.int32(), "start": pa.int32(), "windows": pa.int32()}
-FOUND = "anchor long, content long, id long, mark int, start int, windows int"
-_TEXTS = {"anchor": pa.int64(), "content": pa.int64(), "times": pa.int64(), "words": pa.binary()}
+_FOUND = {"anchor": pa.int64(), "content": pa.int64(), "windows": pa.int32(), "times": pa.int32(), "at": pa.list_(pa.struct([("id", pa.int64()), ("mark", pa.int32()), ("start", pa.int32())]))}
+FOUND = "anchor long, content long, windows int, times int, at array<struct<id:long,mark:int,start:int>>"
+_CUT = {"anchor": pa.int64(), "content": pa.int64(), "times": pa.int64(), "words": pa.binary(), "j": pa.int32(), "hash": pa.int64()}
+CUT = "anchor long, content long, times long, words binary, j int, hash long"
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -122,6 +123,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> list:
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document with repeated windows: id, mark and the places (start, bits of the windows from it)."""
+    bound_batches(docs.sparkSession)
     base = docs.select(*_named(docs, id_col, text_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +131,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
             _, _, _, row, hashes = _words(step.column(2))
             s = segments_of(hashes, row, window, gram)
             first = np.searchsorted(row, np.arange(step.num_rows))
-            at = pa.array(s.row)
-            yield arrow_rows({"anchor": s.anchor, "content": s.content, "id": step.column(0).take(at), "mark": step.column(1).take(at), "start": s.start - first[s.row], "windows": s.windows}, _FOUND)
+            # equal segments of the step's texts are one row with all their places
+            order = np.lexsort((s.content, s.anchor))
+            anchor, content = s.anchor[order], s.content[order]
+            head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]) if len(order) else [])
+            edges = np.append(head, len(order)).astype(np.int32)
+            own = pa.array(s.row[order])
+            places = pa.StructArray.from_arrays([step.column(0).take(own), step.column(1).take(own), pa.array((s.start - first[s.row])[order], pa.int32())], names=["id", "mark", "start"])
+            yield arrow_rows({"anchor": anchor[head], "content": content[head], "windows": s.windows[order][head], "times": np.diff(edges), "at": pa.ListArray.from_arrays(pa.array(edges), places)}, _FOUND)
 
     found = base.mapInArrow(scan, FOUND).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(repeated_keys, FOUND)
     found = stored(found, "segments")
-    distinct = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("id", "mark", "start")).alias("at"), F.max("windows").alias("windows"))
+    distinct = found.groupBy("anchor", "content").agg(F.sum("times").alias("times"), F.min(F.get("at", F.lit(0))).alias("at"), F.max("windows").alias("windows"))
     distinct = stored(distinct.select("anchor", "content", "times", "at.*", "windows"), "distinct-segments")
     hot = stored(distinct.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
     wanted = distinct.join(hot, "anchor", "left").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "times", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segments"))  # at most those of one document
@@ -150,20 +158,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
             yield raw, starts, ends, hashes, np.searchsorted(row, np.arange(step.num_rows))[owner] + start, windows, anchor, content, times, is_hot.astype(bool)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw, starts, ends, _, first, windows, anchor, content, times, is_hot in places(batches):
+        """A row of words for each segment, or of a hash for each of its windows if its anchor is hot."""
+        for raw, starts, ends, hashes, first, windows, anchor, content, times, is_hot in places(batches):
             mine = np.flatnonzero(~is_hot)
             a, b = starts[first[mine]].tolist(), ends[first[mine] + windows[mine] + window - 2].tolist()
-            held = memoryview(raw)
-            yield arrow_rows({"anchor": anchor[mine], "content": content[mine], "times": times[mine], "words": [bytes(held[x:y]) for x, y in zip(a, b, strict=True)]}, _TEXTS)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, hashes, first, windows, anchor, content, times, is_hot in places(batches):
+            held, none = memoryview(raw), pa.nulls(len(mine))
+            yield arrow_rows({"anchor": anchor[mine], "content": content[mine], "times": times[mine], "words": [bytes(held[x:y]) for x, y in zip(a, b, strict=True)], "j": none, "hash": none}, _CUT)
             mine = np.flatnonzero(is_hot)
-            n = windows[mine].astype(np.int64)
-            at = np.repeat(mine, n)
-            j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            sums = range_hash(prefix_hash(hashes), first[at] + j, first[at] + j + window).view(np.int64)
-            yield arrow_rows({"anchor": anchor[at], "content": content[at], "times": times[at], "j": j, "hash": sums}, {"anchor": pa.int64(), "content": pa.int64(), "times": pa.int64(), "j": pa.int32(), "hash": pa.int64()})
+            if len(mine):
+                n = windows[mine].astype(np.int64)
+                at = np.repeat(mine, n)
+                j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                sums = range_hash(prefix_hash(hashes), first[at] + j, first[at] + j + window).view(np.int64)
+                yield arrow_rows({"anchor": anchor[at], "content": content[at], "times": times[at], "words": pa.nulls(len(at)), "j": j, "hash": sums}, _CUT)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -180,13 +187,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
 
     total = distinct.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARD_WORDS))
-    reported = fetched.mapInArrow(cut, "anchor long, content long, times long, words binary").repartition(shards, "anchor").mapInArrow(search, "anchor long, content long, bits long")
+    pieces = stored(fetched.mapInArrow(cut, CUT), "pieces", compression="zstd")
+    reported = pieces.where("words is not null").select("anchor", "content", "times", "words").repartition(shards, "anchor").mapInArrow(search, "anchor long, content long, bits long")
     if hot.take(1):
-        rims = stored(fetched.mapInArrow(hashed, "anchor long, content long, times long, j int, hash long"), "rims")
+        rims = pieces.where("words is null")
         twice = rims.groupBy("anchor", "hash").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", "hash")
         reported = reported.union(rims.join(twice, ["anchor", "hash"]).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits")))
     reported = stored(reported, "reported")
-    back = found.join(reported, ["anchor", "content"]).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "bits")).alias("places"))  # at most those of one document
+    back = found.join(reported, ["anchor", "content"]).select(F.explode("at").alias("at"), "bits").select("at.*", "bits").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "bits")).alias("places"))  # at most those of one document
     return stored(back, "repeats")
 
 

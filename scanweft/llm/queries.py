@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanweft.llm import byte_bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from scanweft.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from scanweft.llm.shared import table
 
 
@@ -69,5 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}

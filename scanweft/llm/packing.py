@@ -1,8 +1,8 @@
 """Mixture-controlled packing (operator 7): deficit round-robin over source queues.
 
 Each source is a queue of its documents' ids. Windows of `window` tokens are made of quanta; the next
-quantum goes to the source that is most overdue: source s with N quanta owes its i-th at (i + 1/2) / N of
-the whole, so its deficit against the target proportion stays within one quantum at every point, in every
+quantum goes to the source that is most overdue: a source with N quanta owes its i-th at (i + 1/2) / N of
+the whole (or by a mixture that is given), so its deficit against the target proportion stays within one quantum at every point, in every
 window, to the end. That rule has a closed form: the place of quantum i of source s is the number of quanta
 of all sources due before it. So a partition starts with the deficits that all before it carry over,
 without a pass over windows in order. What a source has beyond its last full quantum comes after all
@@ -39,15 +39,22 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _PIECES = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "source": pa.string()}
 
 
-def places(quanta: np.ndarray, source: int, i: np.ndarray) -> np.ndarray:
-    """The place among all quanta of the i-th quanta of a source: those due before it, ties in order of sources."""
-    mine = int(quanta[source])
-    wide = int(quanta.max()) * 2 * (mine + 1) >= 1 << 62
+def places(quanta: np.ndarray, source: int, i: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """The place among all quanta of the i-th quanta of a source: those due before it, ties in order of sources.
+
+    Quantum i of a source of weight w is due at (i + 1/2) / w; a queue that has run dry is due no more.
+    """
+    weights = quanta if weights is None else weights
+    mine = int(weights[source])
+    wide = int(weights.max()) * 2 * (int(quanta[source]) + 1) >= 1 << 62
     i = i.astype(object) if wide else i.astype(np.int64)
     out = i * 0
-    for t, n in enumerate(quanta.tolist()):
-        due = (2 * i + 1) * n - mine
-        out = out + (i if t == source else np.maximum(0, -(-due // (2 * mine)) if t > source else due // (2 * mine) + 1))
+    for t, (n, w) in enumerate(zip(quanta.tolist(), weights.tolist(), strict=True)):
+        if t == source:
+            out = out + i
+        elif n:
+            due = (2 * i + 1) * w - mine
+            out = out + np.minimum(n, np.maximum(0, -(-due // (2 * mine)) if t > source else due // (2 * mine) + 1))
     return out.astype(np.int64)
 
 
@@ -68,8 +75,12 @@ def encode_queues(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str
     return stored(ordered.mapInArrow(encode, ENCODED), "queues", compression="zstd")
 
 
-def pack(encoded: DataFrame, window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
-    """The pieces of every document of encode_queues, each in its sequence and offset."""
+def pack(encoded: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, mixture: dict[str | None, float] | None = None) -> DataFrame:
+    """The pieces of every document of encode_queues, each in its sequence and offset.
+
+    mixture: the target proportion of every source; the default is its share of all tokens, which lasts to the
+    end. With others, a source that runs dry leaves its share to the rest, in their proportions.
+    """
     if window % quantum:
         raise ValueError("the window must hold whole quanta")
     spark = encoded.sparkSession
@@ -81,6 +92,9 @@ def pack(encoded: DataFrame, window: int = WINDOW, quantum: int = QUANTUM) -> Da
     index = {s: k for k, s in enumerate(names)}
     amounts = np.array([totals[s] for s in names], np.int64)
     quanta = amounts // quantum
+    if mixture is not None and (missing := set(names) - {s for s, w in mixture.items() if w > 0}):
+        raise ValueError(f"sources without a positive proportion: {sorted(map(str, missing))}")
+    weights = quanta if mixture is None else np.array([max(1, round(1e6 * mixture[s] / max(mixture.values()))) for s in names], np.int64)
     left = amounts - quanta * quantum
     tail = int(quanta.sum()) * quantum + np.cumsum(left) - left
 
@@ -104,7 +118,7 @@ def pack(encoded: DataFrame, window: int = WINDOW, quantum: int = QUANTUM) -> Da
         for s in np.unique(queue[row]):
             mine = queue[row] == s
             distinct, back = np.unique(i[mine], return_inverse=True)
-            to[mine] = places(quanta, int(s), distinct)[back] * quantum + lo[mine] % quantum
+            to[mine] = places(quanta, int(s), distinct, weights)[back] * quantum + lo[mine] % quantum
         first = np.maximum(begin, full)
         shift = tail[queue] - full
         a, b = first + shift, begin + n + shift

@@ -66,6 +66,21 @@ def test_every_window_has_the_mixture(spark):
             assert abs(carried[s]) <= 2 * packing.QUANTUM  # deficits are carried, never lost
 
 
+def test_given_mixture(spark):
+    rows = [(i, "some words in a row " * 40, "big" if i % 4 else None) for i in range(400)]
+    encoded = packing.encode_queues(spark.createDataFrame(rows, "doc_id long, text string, source string"), TOKENIZER)
+    pieces = packing.pack(encoded, mixture={"big": 1.0, None: 1.0}).collect()
+    check(rows, pieces, 2048)
+    windows = defaultdict(Counter)
+    for p in pieces:
+        windows[p.sequence_id][p.source] += p.length
+    both = [w for w in sorted(windows) if windows[w][None]]
+    assert both[: len(both) - 2] == list(range(len(both) - 2))  # the smaller one goes first, half of each window
+    assert all(windows[w][None] == 1024 for w in both[:-3])
+    with pytest.raises(ValueError, match="without"):
+        packing.pack(encoded, mixture={"big": 1.0})
+
+
 def test_places_are_a_permutation_near_the_shares():
     rng = np.random.default_rng(1)
     for quanta in ([5, 1, 1, 9], [1000, 3, 77], [0, 4, 0, 4], [1]):

@@ -14,6 +14,8 @@ from scanweft.functions import codes as code_functions
 from scanweft.functions import texts
 from scanweft.operators import gate, history, resolve, search
 from scanweft.sources import catalog
+from scanweft.sources.folder import shared_path
+from scanweft.streaming import gate as stream_gate
 
 #: Searches of the many-query form: doubled terms, wide spaces, literal % and _, capitals, nothing, no match.
 SEARCHES = ["red", "widget brand#1", "hot　gear", "Blue BOLT bolt", "%", "_", "   ", "", "small ring standard", "no such thing", "#1 e", "brand#2/"]
@@ -156,6 +158,16 @@ def scan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.accepted(scans(spark, sf_dir))
 
 
+def scan_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate as a stream: all scans that there are, taken in one go, with the state of each device kept."""
+    source, out, state = (shared_path(spark, f"gate-{x}") for x in ("in", "out", "state"))
+    scans(spark, sf_dir).write.parquet(source)
+    reads = spark.readStream.schema(catalog.SCANS).parquet(source)
+    query = stream_gate.accepted(reads).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream_gate.ACCEPTED).parquet(out).drop("late")
+
+
 def history_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.recent(_history(spark, sf_dir)).select("device_id", "place", "seq", "code", "status", "item_id", "t_ms")
 
@@ -196,7 +208,7 @@ def catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (code_candidates, barcode_lookup, lookup_outcome, miss_report, conflict_expand, case_price, item_card, clean_leaf, price_format, layer_labels, search_topk, search_many, search_hit_count, scan_gate, history_recent, history_labels, history_json, history_from_json, code_count, catalog_problems, catalog_load)
+    for f in (code_candidates, barcode_lookup, lookup_outcome, miss_report, conflict_expand, case_price, item_card, clean_leaf, price_format, layer_labels, search_topk, search_many, search_hit_count, scan_gate, scan_gate_stream, history_recent, history_labels, history_json, history_from_json, code_count, catalog_problems, catalog_load)
 }
 
 _ITEMS = """items AS (
@@ -297,3 +309,4 @@ SELECT s.device_id, s.seq, s.t_ms, s.code, s.known FROM g JOIN s USING (device_i
     "catalog_problems": f"WITH {_ITEMS}, {_CODES}, own AS (SELECT * FROM items WHERE item_id % 107 <> 11), uses AS (SELECT code, unnest(coalesce(m, []) || [p, c]) AS item_id FROM codes) SELECT 'unknown layer' AS kind, CAST(item_id AS VARCHAR) AS ref FROM own WHERE item_id % 103 = 5 UNION ALL SELECT 'item id is not its position', CAST(item_id AS VARCHAR) FROM own WHERE item_id % 101 = 7 UNION ALL SELECT DISTINCT 'code names no item', code FROM uses WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM own)",
     "catalog_load": f"WITH {_ITEMS}, {_CODES} SELECT item_id, CAST(0 AS INT) AS position, leaf, name, \"desc\", layer, price, rank, bc0, code FROM items LEFT JOIN codes ON code = lpad(CAST(item_id AS VARCHAR), 13, '0')",
 }
+ORACLE_SQL["scan_gate_stream"] = ORACLE_SQL["scan_gate"]

@@ -19,14 +19,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanweft.llm.shared import bound_batches, mix, shared_dir
 
 SHUFFLED = "doc_id long, text string, grown_shard int, shard int, sub int, pos long"
-#: Bytes of text in a bucket; a task holds a bucket about three times while it shuffles it.
-BUCKET_BYTES = 48 << 20
+#: A bucket's share of a core's part of an executor's memory: fetched, sent to Python, sorted, permuted, sent back, sorted
+#: into its shard and encoded as Parquet, it stands in memory in many forms, and garbage comes on top.
+BUCKET_SHARE = 1 / 128
+
+
+def memory_sized(spark: SparkSession) -> int:
+    """Bytes of text in a bucket, by the executors' settings."""
+    conf = spark.sparkContext.getConf()
+    size = conf.get("spark.executor.memory", "1g").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(size[-1], 1)
+    return max(1 << 20, int(int(size.rstrip("kmgt")) * unit / int(conf.get("spark.executor.cores", "1")) * BUCKET_SHARE))
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -51,7 +60,7 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs as shuffled shards and returns the rows of the files: doc_id, text, shard, slot, grown_shard."""
 
     @F.pandas_udf("shard int, grown_shard int")
@@ -63,12 +72,13 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int =
     bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    subs = max(1, -(-int(total) // (shards * bucket_bytes)))
+    subs = max(1, -(-int(total) // (shards * (bucket_bytes or memory_sized(spark)))))
     # the id alone goes through Python: the text stays in the JVM
     keyed = rows.withColumn("to", shard_of(F.coalesce("doc_id", F.lit(-1).cast("long")))).select("doc_id", "text", "to.shard", "to.grown_shard", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(subs)).cast("int").alias("sub"))
     scattered = keyed.repartitionById(shards * subs, F.col("shard") * subs + F.col("sub"))
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One bucket: in an order that depends on its rows alone, then permuted."""
         held = [b for b in batches if b.num_rows]
         if not held:
             return
@@ -79,7 +89,10 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int =
         order = fisher_yates(bucket.num_rows, np.random.default_rng([seed, *which]))
         for at in range(0, len(order), 2000):
             part = bucket.take(pa.array(order[at : at + 2000])).combine_chunks()
-            yield from part.append_column("pos", pa.array(np.arange(at, at + part.num_rows))).select(["doc_id", "text", "grown_shard", "shard", "sub", "pos"]).to_batches()
+            part = part.append_column("pos", pa.array(np.arange(at, at + part.num_rows)))
+            yield from part.select(["doc_id", "text", "grown_shard", "shard", "sub", "pos"]).to_batches()
+        del bucket
+        pa.default_memory_pool().release_unused()
 
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     scattered.mapInArrow(shuffle, SHUFFLED).write.partitionBy("shard").parquet(path)

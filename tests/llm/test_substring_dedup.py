@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scanweft.llm import substring_dedup as sd
@@ -100,3 +101,17 @@ def test_index_counts():
         for pattern, n in list(seen.items())[:5]:
             assert index.count(np.array(pattern, np.uint64)) == n
         assert index.count(np.array([5], np.uint64)) == 0
+
+
+def test_repeated_keys_however_batches_are_cut():
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = sorted((rng.randrange(15), rng.choice([1, 1, 1, 2])) for _ in range(rng.randint(0, 40)))
+        count = Counter(k for k, _ in rows)
+        batches, at = [], 0
+        while at < len(rows):
+            to = at + rng.choice([1, 1, 2, 5, 20])
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at:to]], pa.int64()) for c in (0, 1)], names=["anchor", "times"]))
+            at = to
+        got = [tuple(r.values()) for b in sd.repeated_keys(iter(batches)) for r in b.to_pylist()]
+        assert got == [(k, n) for k, n in rows if count[k] > 1 or n > 1]

@@ -12,14 +12,15 @@
    intersecting the sorted arrays. Verified links give components.
 4. What stars alone miss is found exactly: where a shingle still joins several components, its classes are
    laid in tiles of size bands (sets of a band link only with that and the next one), large tiles are
-   split into pairs of parts over tasks, and all pairs of unlike components within meet the same two bounds
-   and the same verification. No similar pair of unlike components is left out, and pairs inside a
+   split into pairs of parts over tasks, and all pairs of unlike components within meet the same two bounds.
+   Sets that link share a least number of prefix shingles, which follows from both sizes: pairs met in fewer
+   tiles go, the rest are verified. No similar pair of unlike components is left out, and pairs inside a
    component need no test, as they change no component.
 
 Hashes of 64 bits are compared only within pairs, where a chance collision has a probability of n*n / 2**64.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer words
-than a shingle is one shingle; null ids get a null component unless linked; rows that repeat an id are
+than a shingle is one shingle; rows with a null id link only to equal sets and else have a null component; rows that repeat an id are
 one document when links are followed, and each gets its row; an empty table gives no rows; other
 columns are ignored (kept by `deduplicated`).
 """
@@ -35,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanweft.llm.components import components
-from scanweft.llm.shared import arrow_rows, buffer_of, gram_hash, letter_values, mix, prefix_hash, range_hash, steps, stored, texts, words_of
+from scanweft.llm.shared import arrow_rows, buffer_of, gram_hash, letter_values, mix, on_disk, prefix_hash, range_hash, steps, stored, texts, words_of
 
-BITS = 1024
+#: Bits of the small signature that every comparison starts with, and at most of the wide one.
+BITS, MOST_BITS = 512, 1 << 17
 #: Common shingles in the broadcast list, at most (8 bytes each), and how often in a step's texts one must stand.
-COMMON, COMMON_IN_STEP = 50_000, 6
-#: Ids up to which a set of them is broadcast to filter a scan (under 100 bytes each in memory); beyond, they are joined.
-BROADCAST_IDS = 300_000
+COMMON, COMMON_IN_STEP = 200_000, 3
+#: Ids up to which a set of them is broadcast to filter a scan (under 100 bytes each in memory), and pairs up to which
+#: their roles are (under 200 bytes each); beyond, they are joined by shuffle.
+BROADCAST_IDS, BROADCAST_PAIRS = 300_000, 150_000
 #: Classes of a tile's part, and members of a star that one task verifies.
 PART = 1024
 
@@ -99,11 +102,34 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Sets:
     return Sets(owner, grams[fresh], np.bincount(owner, minlength=n).astype(np.int64))
 
 
-def signatures(s: Sets) -> list[bytes]:
-    """Per set, for each of BITS classes of shingles, whether it holds an odd number of them."""
-    odd = np.bincount(s.row * BITS + (s.shingle >> np.uint64(20)).astype(np.int64) % BITS, minlength=len(s.size) * BITS) & 1
-    packed = np.packbits(odd.astype(np.uint8).reshape(len(s.size), BITS), axis=1)
-    return [x.tobytes() for x in packed]
+def signatures(s: Sets) -> tuple[list[bytes], list[bytes]]:
+    """Per set, for each of so many classes of shingles, whether it holds an odd number of them: small, and wide.
+
+    The wide one has a power of two of classes, 1.5 times the set or more. One half of a signature laid on
+    the other is the signature of half as many classes, so those of unlike sets can be compared.
+    """
+    place = (s.shingle >> np.uint64(20)).astype(np.int64)
+    out = []
+    for width in (np.full(len(s.size), BITS), np.clip(1 << np.ceil(np.log2(1.5 * np.maximum(s.size, 1))).astype(np.int64), BITS, MOST_BITS)):
+        ends = np.cumsum(width)
+        at = (ends - width)[s.row] + (place & (width[s.row] - 1))
+        odd = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8))
+        out.append([odd[(e - w) // 8 : e // 8].tobytes() for e, w in zip(ends.tolist(), width.tolist(), strict=True)])
+    return out[0], out[1]
+
+
+def folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Signatures as rows of 64-bit words, each folded to `size` bytes."""
+    out = np.empty((len(bits), size // 8), np.uint64)
+    lengths = np.array([len(b) for b in bits], np.int64)
+    for length in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == length)
+        rows = np.frombuffer(b"".join([bits[i] for i in mine.tolist()]), np.uint64).reshape(len(mine), -1)
+        while rows.shape[1] > size // 8:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        out[mine] = rows
+    return out
 
 
 def set_keys(s: Sets) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +142,8 @@ def set_keys(s: Sets) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_SETS = {"doc_id": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "bits": pa.binary(), "common": pa.list_(pa.int64()), "often": pa.list_(pa.int64())}
-SETS = "doc_id long, n long, k1 long, k2 long, bits binary, common array<long>, often array<long>"
+_SETS = {"doc_id": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "small": pa.binary(), "wide": pa.binary(), "common": pa.list_(pa.int64()), "often": pa.list_(pa.int64())}
+SETS = "doc_id long, n long, k1 long, k2 long, small binary, wide binary, common array<long>, often array<long>"
 
 
 def _scan_sets(named: DataFrame, rule: Rule) -> DataFrame:
@@ -128,7 +154,8 @@ def _scan_sets(named: DataFrame, rule: Rule) -> DataFrame:
             value, often = np.unique(s.shingle, return_counts=True)
             common = often >= COMMON_IN_STEP
             rest = [None] * (step.num_rows - 1)
-            yield arrow_rows({"doc_id": step.column(0), "n": s.size, "k1": k1, "k2": k2, "bits": signatures(s), "common": [value[common].view(np.int64).tolist(), *rest], "often": [often[common].tolist(), *rest]}, _SETS)
+            small, wide = signatures(s)
+            yield arrow_rows({"doc_id": step.column(0), "n": s.size, "k1": k1, "k2": k2, "small": small, "wide": wide, "common": [value[common].view(np.int64).tolist(), *rest], "often": [often[common].tolist(), *rest]}, _SETS)
 
     return named.mapInArrow(run, SETS)
 
@@ -207,22 +234,30 @@ _PAIR = {"a": pa.int64(), "b": pa.int64()}
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Of pairs (a, b): those that sizes and signatures don't rule out, as (a, b, n, m)."""
+    """Of pairs (a, b): those that sizes, small signatures and then wide ones don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            ok = pa.array(rule.links(n, m, _overlap_bound(n, m, _bit_rows(batch.column("x")), _bit_rows(batch.column("y")))))
-            yield batch.filter(ok).select(["a", "b", "n", "m"])
-
-    one, two = classes.select(F.col("rep").alias("a"), "n", F.col("bits").alias("x")), classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    sized = pairs.join(one, "a").join(two, "b").where(f"{rule.den} * least(n, m) >= {rule.num} * greatest(n, m)")
-    return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, n long, m long")
-
-
-def _bit_rows(column: pa.Array) -> np.ndarray:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            size = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
+            ok = np.zeros(len(n), bool)
+            for width in np.unique(size).tolist():
+                mine = np.flatnonzero(size == width)
+                own = mine.tolist()
+                ok[mine] = rule.links(n[mine], m[mine], _overlap_bound(n[mine], m[mine], folded([x[i] for i in own], width), folded([y[i] for i in own], width)))
+            yield batch.filter(pa.array(ok)).select(["a", "b"])
+
+    for bits in ("small", "wide"):
+        one, two = classes.select(F.col("rep").alias("a"), "n", F.col(bits).alias("x")), classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col(bits).alias("y"))
+        sized = pairs.join(one, "a").join(two, "b").where(f"{rule.den} * least(n, m) >= {rule.num} * greatest(n, m)")
+        pairs = sized.select("n", "m", "x", "y", "a", "b").mapInArrow(run, "a long, b long")
+    return pairs
+
+
+def _bit_rows(column: pa.Array, bits: int) -> np.ndarray:
     raw, _ = buffer_of(column)
-    return raw.reshape(len(column), BITS // 8).view(np.uint64)
+    return raw.reshape(len(column), bits // 8).view(np.uint64)
 
 
 def _overlap_bound(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -230,12 +265,6 @@ def _overlap_bound(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -
     return (n + m - np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)) // 2
 
 
-def _only(named: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of named with an id of the one-column table ids; a set of ids of checked size is broadcast."""
-    ids = ids.distinct()
-    return named.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
-
-
 def _verified(pairs: DataFrame, named: DataFrame, rule: Rule) -> DataFrame:
     """The links among candidate pairs (a, b), by intersecting sorted arrays.
 
@@ -249,17 +278,24 @@ def _verified(pairs: DataFrame, named: DataFrame, rule: Rule) -> DataFrame:
     stars = pairs.join(da, "a").join(db, "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("doc_id"), F.greatest("da", "db").alias("d"))
     stars = stored(stars.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("d") / PART)).cast("int")).select("centre", "part", "doc_id"), "stars")
 
+    centres = stars.select(F.col("centre").alias("doc_id"), "centre", "part").distinct()
+    roles = centres.withColumn("member", F.lit(False)).unionByName(stars.withColumn("member", F.lit(True)))
+    roles = roles.groupBy("doc_id").agg(F.collect_list(F.struct("centre", "part", "member")).alias("roles"))  # at most a document's own pairs
+    few = stars.count() <= BROADCAST_PAIRS
+
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
             s = shingle_sets(*buffer_of(step.column(1)), rule.k)
             ends = np.cumsum(s.size)
-            yield arrow_rows({"doc_id": step.column(0), "shingles": [s.shingle[e - n : e].tobytes() for e, n in zip(ends.tolist(), s.size.tolist(), strict=True)]}, {"doc_id": pa.int64(), "shingles": pa.binary()})
+            raw = [s.shingle[e - n : e].tobytes() for e, n in zip(ends.tolist(), s.size.tolist(), strict=True)]
+            lists = step.column(2)
+            row = np.repeat(np.arange(step.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            for at in range(0, len(row), 500):
+                own = row[at : at + 500]
+                yield pa.RecordBatch.from_arrays([*flat.slice(at, 500).flatten(), step.column(0).take(pa.array(own)), pa.array([raw[i] for i in own.tolist()], pa.binary())], names=["centre", "part", "member", "doc_id", "shingles"])
 
-    centres = stars.select(F.col("centre").alias("doc_id"), F.col("centre"), "part").distinct()
-    wanted = centres.select("doc_id").union(stars.select("doc_id"))
-    sets = _only(named, wanted).mapInArrow(arrays, "doc_id long, shingles binary")
-    roles = centres.withColumn("member", F.lit(False)).unionByName(stars.withColumn("member", F.lit(True)))
-    rows = sets.join(roles, "doc_id").select("centre", "part", "member", "doc_id", "shingles")
+    rows = named.join(F.broadcast(roles) if few else roles, "doc_id").select("doc_id", "text", "roles").mapInArrow(arrays, "centre long, part int, member boolean, doc_id long, shingles binary")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -285,62 +321,166 @@ def _verified(pairs: DataFrame, named: DataFrame, rule: Rule) -> DataFrame:
     return rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "member").mapInArrow(intersect, "a long, b long")
 
 
-def _tiles(prefix: DataFrame, parts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs of unlike components that share a prefix shingle, by tiles of size bands."""
+def near_pairs(group: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, bits: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within groups that sizes, components, sides and signatures let link.
+
+    Rows are sorted by group (numbers from 0) and size. Side 0 pairs with all, 1 and 2 with each other only.
+    """
+    # the rows after each, of its group, that aren't too large for it
+    key = group * (int(n.max()) + 2) + n
+    span = np.searchsorted(key, group * (int(n.max()) + 2) + np.minimum(rule.den * n // rule.num, int(n.max()) + 1), side="right") - np.arange(1, len(n) + 1)
+    ends, most, first = np.cumsum(span), max(1, (16 << 20) // (8 * bits.shape[1])), 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        own = span[first:last]
+        i = np.repeat(np.arange(first, last), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        ok = (component[j] != component[i]) & ((side[j] == 0) | (side[j] != side[i]))
+        i, j = i[ok], j[ok]
+        ok = rule.links(n[i], n[j], _overlap_bound(n[i], n[j], bits[i], bits[j]))
+        if ok.any():
+            yield i[ok], j[ok]
+        first = last
+
+
+_ROW = {"shingle": pa.int64(), "n": pa.int64(), "rep": pa.int64(), "component": pa.int64(), "small": pa.binary()}
+
+
+def _tile_pairs(table: pa.Table, key: list[str], rule: Rule) -> Iterator[np.ndarray]:
+    """Candidate pairs of whole groups, sorted by key and size."""
+    keys = np.column_stack([table.column(k).to_numpy() for k in key])
+    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+    group = np.cumsum(fresh) - 1
+    component, rep = table.column("component").to_numpy(), table.column("rep").to_numpy()
+    start = np.flatnonzero(fresh)
+    mixed = (np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start))[group]
+    mixed[1:] &= (rep[1:] != rep[:-1]) | fresh[1:]  # a class that several tasks have sent
+    if not mixed.any():
+        return
+    table = table.filter(pa.array(mixed)).combine_chunks()
+    group, component, rep, n = group[mixed], component[mixed], rep[mixed], table.column("n").to_numpy()
+    side = table.column("side").to_numpy() if "side" in table.column_names else np.zeros(len(n), np.int64)
+    for i, j in near_pairs(group, n, component, side, _bit_rows(table.column("small"), BITS), rule):
+        yield np.column_stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])])
+
+
+class Tally:
+    """Pairs of a task with how often each was met, so that a pair of many tiles is a few rows."""
+
+    def __init__(self, most: int = 400_000):
+        self.held: list[np.ndarray] = []
+        self.rows, self.most = 0, most
+
+    def add(self, pairs: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for p in pairs:
+            self.held.append(p)
+            self.rows += len(p)
+            if self.rows > self.most:
+                yield from self.out()
+
+    def out(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if self.rows:
+            pairs, shared = np.unique(np.concatenate(self.held), axis=0, return_counts=True)
+            yield pairs[:, 0], pairs[:, 1], shared
+        self.held, self.rows = [], 0
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], most: int | None) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole groups of rows sorted by key; parts of a group of over `most` rows come alone, as large."""
+    held: list[pa.RecordBatch] = []
+    rows, large = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(k).to_numpy() for k in key])
+        if large is not None:  # rows of a large group that goes on
+            end = int(np.argmax((keys != large).any(axis=1))) if (keys != large).any() else len(keys)
+            if end:
+                yield pa.Table.from_batches([batch.slice(0, end)]), True
+            if end == len(keys):
+                continue
+            batch, keys, large = batch.slice(end), keys[end:], None
+        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        last = int(cut[-1]) if len(cut) else 0
+        if held and (last or (keys[0] != held_key).any()):
+            if last:
+                held.append(batch.slice(0, last))
+            yield pa.Table.from_batches(held), False
+            held, rows = [], 0
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)]), False
+        held.append(batch.slice(last))
+        rows, held_key = rows + batch.num_rows - last, keys[-1]
+        if most is not None and rows > most:
+            yield pa.Table.from_batches(held), True
+            held, rows, large = [], 0, held_key
+    if held:
+        yield pa.Table.from_batches(held), False
+
+
+def _tiles(met: DataFrame, of: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs of unlike components that share enough prefix shingles.
+
+    A shingle of at most PART rows is a tile. Larger ones are cut into size bands (a set meets its own band and
+    the next one only) and bands into parts, and pairs of parts are tiles. A pair that links shares a
+    number of prefix shingles that follows from both sizes, so pairs found in fewer tiles go.
+    """
     base = float(np.log(rule.den / rule.num))
-    whole = prefix.join(parts, "doc_id", "left").select("shingle", F.col("doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component"))
-    split = whole.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    rows = whole.join(split, "shingle").distinct().join(classes, "rep").withColumn("band", F.floor(F.log("n") / base + 1e-9).cast("int"))
-    rows = stored(rows.select("shingle", "rep", "component", "n", "bits", "band"), "tiles")
-    # a set meets its own band and the one above, as the smaller of a pair; the band is where pairs are found
-    size = rows.groupBy("shingle", "band").agg(F.count("*").alias("c")).select("shingle", "band", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
-    own = rows.join(size, ["shingle", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    # two parts of a band meet in one tile (i <= j); a band's part and each part of the band above meet in another
-    same = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("shingle", F.col("band").alias("low"), F.col("band").alias("high"), F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), F.lit(0).alias("side"), "rep", "component", "n", "bits")
-    above = size.select("shingle", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    below = size.select("shingle", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    lower = own.join(above, ["shingle", "band"]).select("*", F.explode(F.sequence(F.lit(0), F.col("above") - 1)).alias("k")).select("shingle", F.col("band").alias("low"), (F.col("band") + 1).alias("high"), F.col("part").alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"), "rep", "component", "n", "bits")
-    upper = own.join(below, ["shingle", "band"]).select("*", F.explode(F.sequence(F.lit(0), F.col("below") - 1)).alias("k")).select("shingle", (F.col("band") - 1).alias("low"), F.col("band").alias("high"), F.col("k").alias("i"), F.col("part").alias("j"), F.lit(2).alias("side"), "rep", "component", "n", "bits")
-    key = ["shingle", "low", "high", "i", "j"]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for batch in batches:
-            keys = np.column_stack([batch.column(k).to_numpy() for k in key])
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True):
-                if at != (now := tuple(keys[a].tolist())) if b > a else False:
-                    yield from pairs_of(held)
-                    at, held = now, []
-                held.append(batch.slice(a, b - a))
-        yield from pairs_of(held)
-
-    def pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        tile = pa.Table.from_batches(held).combine_chunks()
-        side, rep, comp, n = (tile.column(k).to_numpy() for k in ("side", "rep", "component", "n"))
-        if len(rep) < 2 or (comp == comp[0]).all():
-            return
-        bits = _bit_rows(tile.column("bits").combine_chunks())
-        order = np.argsort(n, kind="stable")
-        side, rep, comp, n, bits = side[order], rep[order], comp[order], n[order], bits[order]
-        out_a, out_b = [], []
-        # the largest n that each set may meet
-        reach = np.searchsorted(n, rule.den * n // rule.num, side="right")
-        for i in range(len(n)):
-            j = np.arange(i + 1, reach[i])
-            j = j[(comp[j] != comp[i]) & ((side[j] == 0) | (side[j] != side[i]))]
-            if len(j):
-                j = j[rule.links(n[i], n[j], _overlap_bound(n[i], n[j], bits[i], bits[j]))]
-                out_a.append(np.full(len(j), rep[i]))
-                out_b.append(rep[j])
-        if out_a:
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            yield arrow_rows({"a": np.minimum(a, b), "b": np.maximum(a, b)}, _PAIR)
-
-    rows = same.union(lower).union(upper)
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long").distinct()
+    rows = met.join(of, "doc_id").select("shingle", "n", "rep", "component", "small")
+
+    def one_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            for a, b, shared in found:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared), *(pa.nulls(len(a), t) for t in _ROW.values())], names=["a", "b", "shared", *_ROW])
+
+        tally = Tally()
+        for table, large in _whole_groups(batches, ["shingle"], PART):
+            if large or max(np.unique(table.column("shingle").to_numpy(), return_counts=True)[1]) > PART:
+                shingle = table.column("shingle").to_numpy()
+                _, back, count = np.unique(shingle, return_inverse=True, return_counts=True)
+                big = (count[back] > PART) | large
+                for part in table.filter(pa.array(big)).to_batches():
+                    none = pa.nulls(part.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, none, *(part.column(k) for k in _ROW)], names=["a", "b", "shared", *_ROW])
+                table = table.filter(pa.array(~big))
+            if table.num_rows:
+                yield from rows_of(tally.add(_tile_pairs(table, ["shingle"], rule)))
+        yield from rows_of(tally.out())
+
+    first = on_disk(rows.repartition("shingle").sortWithinPartitions("shingle", "n", "rep").mapInArrow(one_tile, "a long, b long, shared long, shingle long, n long, rep long, component long, small binary"))
+    pairs = first.where("a is not null").select("a", "b", "shared")
+    large = first.where("a is null").select(*_ROW)
+    if large.take(1):
+        own = large.withColumn("band", F.floor(F.log("n") / base + 1e-9).cast("int"))
+        size = stored(own.groupBy("shingle", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "bands")
+        own = own.join(size, ["shingle", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+        kept = ["side", "n", "rep", "component", "small"]
+        # two parts of a band meet in one tile (i <= j); a band's part and each part of the band above meet in another
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("k")
+        same = own.select("*", each("parts")).withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k"))
+        same = same.select("shingle", F.col("band").alias("low"), F.col("band").alias("high"), "i", "j", F.when(F.col("i") == F.col("j"), 0).when(F.col("part") == F.col("i"), 1).otherwise(2).alias("side"), *kept[1:])
+        above, below = (size.select("shingle", (F.col("band") + d).alias("band"), F.col("parts").alias("others")) for d in (-1, 1))
+        lower = own.join(above, ["shingle", "band"]).select("*", each("others")).select("shingle", F.col("band").alias("low"), (F.col("band") + 1).alias("high"), F.col("part").alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"), *kept[1:])
+        upper = own.join(below, ["shingle", "band"]).select("*", each("others")).select("shingle", (F.col("band") - 1).alias("low"), F.col("band").alias("high"), F.col("k").alias("i"), F.col("part").alias("j"), F.lit(2).alias("side"), *kept[1:])
+        key = ["shingle", "low", "high", "i", "j"]
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tally = Tally()
+
+            def rows_of(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+                for a, b, shared in found:
+                    yield arrow_rows({"a": a, "b": b, "shared": shared}, _PAIR | {"shared": pa.int64()})
+
+            for table, _ in _whole_groups(batches, key, None):
+                yield from rows_of(tally.add(_tile_pairs(table, key, rule)))
+            yield from rows_of(tally.out())
+
+        pairs = pairs.union(same.union(lower).union(upper).repartition(*key).sortWithinPartitions(*key, "n", "rep").mapInArrow(compare, "a long, b long, shared long"))
+    counted = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(sizes.withColumnRenamed("rep", "a"), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("m")), "b")
+    # both prefixes hold the first shared shingles for as long as those that only one set has leave room
+    up = F.ceil(F.lit(rule.num) * (F.col("n") + F.col("m")) / (rule.num + rule.den) - 1e-9)  # the least overlap
+    least = up + 1 - F.ceil(F.lit(rule.num) * F.greatest("n", "m") / rule.den - 1e-9)
+    return counted.where(F.col("shared") >= least).select("a", "b")
 
 
 class Join(NamedTuple):
@@ -351,26 +491,26 @@ class Join(NamedTuple):
 def joined(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> Join:
     """rows: doc_id, n_shingles, component_id of every document; links: the verified pairs that connect classes."""
     named = texts(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col)
-    sets = stored(_scan_sets(named, rule), "sets")
+    sets = on_disk(_scan_sets(named, rule))
     common = _common(sets)
     key = ["n", "k1", "k2"]
-    classes = stored(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits")), "classes")
-    reps = classes.where("rep is not null").select("rep", "n", "bits")
+    classes = stored(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.any_value("small").alias("small"), F.any_value("wide").alias("wide")), "classes")
+    reps = classes.where("rep is not null").select("rep", "n", "small", "wide")
     to_rep = sets.where("n > 0 and doc_id is not null").join(classes.select(*key, "rep"), key).select("doc_id", "rep")
     met = _prefixes(named, rule, common).where("doc_id is not null").repartition("shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(_met_again, "shingle long, doc_id long, first long")
-    met = stored(met, "prefixes")
-    # documents stand for their class from here on
+    met = on_disk(met)
     moved = stored(to_rep.where("doc_id <> rep"), "moved")
-    first = moved.select(F.col("doc_id").alias("first"), F.col("rep").alias("first_rep"))
-    prefix = met.join(moved, "doc_id", "left").select("shingle", F.coalesce("rep", "doc_id").alias("doc_id"), "first")
-    stars = prefix.where("doc_id <> first").groupBy("doc_id", "first").count().join(first, "first", "left").select(F.col("doc_id").alias("a"), F.coalesce("first_rep", "first").alias("b"))
+    stars = met.where("doc_id <> first").select("doc_id", "first").distinct()
+    one, two = moved.select("doc_id", F.col("rep").alias("a")), moved.select(F.col("doc_id").alias("first"), F.col("rep").alias("b"))
+    stars = stars.join(one, "doc_id", "left").join(two, "first", "left").select(F.coalesce("a", "doc_id").alias("a"), F.coalesce("b", "first").alias("b"))
     stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = stored(_verified(_bounded(stars, reps, rule), named, rule), "near")
+    near = on_disk(_verified(_bounded(stars, reps, rule), named, rule))
     parts = stored(components(near), "parts").select(F.col("node").alias("doc_id"), "component")
-    rest = stored(_tiles(prefix.select("shingle", "doc_id"), parts, reps, rule), "rest")
+    of = to_rep.join(parts.withColumnRenamed("doc_id", "rep"), "rep", "left").join(classes.select("rep", "n", "small"), "rep").select("doc_id", "rep", "n", "small", F.coalesce("component", "rep").alias("component"))
+    rest = stored(_tiles(met.select("shingle", "doc_id"), of, reps.select("rep", "n"), rule), "rest")
     links = near
     if rest.take(1):
-        more = stored(_verified(rest, named, rule), "near")
+        more = on_disk(_verified(_bounded(rest, reps, rule), named, rule))
         links = near.union(more)
         parts = stored(components(links), "parts").select(F.col("node").alias("doc_id"), "component") if more.take(1) else parts
     of = parts.withColumnRenamed("doc_id", "rep")

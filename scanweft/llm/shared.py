@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,13 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def on_disk(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks once computed, for a few uses in one operator.
+
+    Unlike a stored table it costs no files in the shared folder. Lineage stays, and is short where this is
+    used, so what a lost executor held is computed again; spark.catalog.clearCache() frees the disk.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def bound_batches(spark: SparkSession) -> None:

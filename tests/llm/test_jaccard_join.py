@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scanweft.llm import jaccard_join as jj
@@ -99,8 +100,11 @@ def test_signatures_bound_the_overlap():
         a = rng.integers(0, 2**63, rng.integers(1, 3000), dtype=np.uint64)
         b = np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(1, 2000), dtype=np.uint64)])
         sets = jj.Sets(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), np.array([len(a), len(b)]))
-        bits = np.frombuffer(b"".join(jj.signatures(sets)), np.uint64).reshape(2, -1)
-        assert jj._overlap_bound(len(a), len(b), bits[:1], bits[1:])[0] >= len(np.intersect1d(a, b))
+        small, wide = jj.signatures(sets)
+        for bits in (small, wide):
+            x = jj.folded(bits, min(map(len, bits)))
+            assert jj._overlap_bound(len(a), len(b), x[:1], x[1:])[0] >= len(np.intersect1d(a, b))
+        assert (jj.folded(wide, jj.BITS // 8) == jj.folded(small, jj.BITS // 8)).all()
 
 
 def test_components(spark):
@@ -111,3 +115,34 @@ def test_components(spark):
     table = spark.createDataFrame(links, "a long, b long").repartition(7)
     assert {r.node: r.component for r in components(table).collect()} == want
     assert components(table.where("a < 0")).count() == 0
+
+
+def batches_of(rows, names, rng):
+    at = 0
+    while at < len(rows):
+        to = min(len(rows), at + rng.choice([1, 1, 2, 3, 9, 40]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at:to]], pa.int64()) for c in range(len(names))], names=names)
+        at = to
+
+
+def test_streams_of_groups_however_batches_are_cut():
+    rng = random.Random(8)
+    for _ in range(200):
+        rows = sorted((rng.randrange(12), rng.randrange(100)) for _ in range(rng.randint(0, 60)))
+        by = {}
+        for k, d in rows:
+            by.setdefault(k, []).append(d)
+        # documents whose shingle is met again, with the first one
+        got = [tuple(r.values()) for b in jj._met_again(batches_of(rows, ["shingle", "doc_id"], rng)) for r in b.to_pylist()]
+        assert sorted(got) == sorted((k, d, v[0]) for k, v in by.items() if len(v) > 1 for d in v)
+        # whole groups, large ones in parts
+        whole, large = {}, {}
+        for table, is_large in jj._whole_groups(batches_of(rows, ["key", "x"], rng), ["key"], 8):
+            keys = table.column("key").to_pylist()
+            assert not is_large or len(set(keys)) == 1
+            for k in set(keys):
+                assert is_large or k not in whole
+            for k, x in zip(keys, table.column("x").to_pylist(), strict=True):
+                (large if is_large else whole).setdefault(k, []).append(x)
+        assert not set(whole) & set(large)
+        assert {k: v for k, v in (whole | large).items()} == by

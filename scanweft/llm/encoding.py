@@ -19,7 +19,7 @@ import numpy as np
 import regex
 
 #: Entries of each kind that a worker remembers, so memory is bounded.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Characters that are their own NFC form and whose lower case depends on no neighbour.
 PLAIN = re.compile(r"[\t\n\x20-\x7eÀ-ÿ]*")
 #: The split of byte-level tokenizers that name none.
@@ -64,7 +64,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.dtype, self.code, self.model, self.table = np.dtype(dtype), {2: "H", 4: "I"}[np.dtype(dtype).itemsize], self.library.model, dict(enumerate(byte_letters()))
+        self.dtype, self.code, self.model, self.table = np.dtype(dtype), {2: "H", 4: "I"}[np.dtype(dtype).itemsize], self.library.model, {c: "".join(byte_letters()[b] for b in chr(c).encode()) for c in range(256)}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         normal, split = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
@@ -81,17 +81,16 @@ class Encoder:
         self.odd = re.compile(r"(?:^|\s) | (?:\s|$)")
 
     def _merge(self, word: str) -> bytes:
-        letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.table)
+        letters = word if word.isascii() and word.isalpha() else word.translate(self.table)
         return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        low = piece.lower() if self.kind == "unspaced" else piece
-        if piece.isascii():
-            word, end = (low[:-1], low[-1]) if low.endswith((",", ".")) else (low, "")
-            if (word[1:] if word[:1] == " " else word).isalpha():  # as the patterns split it
-                return self.words[word] + self.words[end] if end else self._merge(word)
-        elif not PLAIN.fullmatch(piece):
+        if not (piece.isascii() or PLAIN.fullmatch(piece)):
             return self.whole(piece)
+        low = piece.lower() if self.kind == "unspaced" else piece
+        word, end = (low[:-1], low[-1]) if low.endswith((",", ".")) else (low, "")
+        if (word[1:] if word[:1] == " " else word).isalpha():  # as the patterns split it
+            return self.words[word] + self.words[end] if end else self._merge(word)
         found = self.split.findall(low)
         if len(found) == 1:
             return self._merge(found[0])  # the piece itself is remembered

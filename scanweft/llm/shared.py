@@ -7,6 +7,8 @@ Texts are handled as one buffer of bytes and an array of offsets, whole and with
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
 
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
 #: Bytes of an Arrow batch from Spark, about.
 BATCH_BYTES = 4 << 20
 
@@ -74,6 +78,13 @@ def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: a worker serves task after task, of one operator after another."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `limit` bytes of text: memory stays bounded however rows are batched."""
     for batch in batches:
@@ -87,6 +98,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(size, floor + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

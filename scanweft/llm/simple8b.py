@@ -42,9 +42,15 @@ def _selectors(rows: np.ndarray) -> np.ndarray:
     """For a word that starts at any id: the selector that takes most ids. rows: a block each, filled up with zeros."""
     blocks, block = rows.shape
     best = np.zeros((blocks, block), np.int8)
+    most = int(rows.max()) if rows.size else 0
+    if most < 1 << 32:
+        rows = rows.astype(np.uint32)
     for selector, (count, bits) in reversed(list(enumerate(FIELDS, 1))):
+        if most < 1 << bits:
+            best[:] = selector
+            continue
         small = np.ones((blocks, block + 64), bool)
-        small[:, :block] = rows < np.uint64(1 << bits)
+        small[:, :block] = rows < rows.dtype.type(1 << bits)
         best[_all_of(small, count)[:, :block]] = selector
     return best
 

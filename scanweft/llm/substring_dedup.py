@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanweft.llm.fm_index import FMIndex
-from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, gram_hash, letter_values, prefix_hash, range_hash, steps, stored, words_of
+from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, gram_hash, letter_values, prefix_hash, range_hash, steps, stored, trim, words_of
 
 WINDOW, GRAM = 35, 8
 #: Distinct segments of an anchor beyond which its windows are counted by hash.
@@ -184,6 +184,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
         bits = np.array([int(((c > 1) << np.arange(len(c))).sum()) for c in index.window_counts()], np.int64)
         some = pa.array(np.flatnonzero(bits))
         yield arrow_rows({"anchor": shard.column("anchor").take(some).combine_chunks(), "content": shard.column("content").take(some).combine_chunks(), "bits": bits[bits != 0]}, {"anchor": pa.int64(), "content": pa.int64(), "bits": pa.int64()})
+        del index, hashes, row, shard
+        trim()
 
     total = distinct.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARD_WORDS))

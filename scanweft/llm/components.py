@@ -58,10 +58,15 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _written(links: DataFrame) -> DataFrame:
+    """A round, in fewer files than there are shuffle partitions: links are few beside the rows that they join."""
+    return stored(links.coalesce(max(16, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b) the table (node, component) of all nodes that aren't the smallest of theirs."""
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = stored(links.mapInArrow(_contract, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = _written(links.mapInArrow(_contract, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     while state[0]:
         both = now.union(now.select("b", "a"))
@@ -69,7 +74,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("l")).select(F.col("l.b").alias("a"), F.col("l.m").alias("b"))
-        now = stored(small.where("a <> b").distinct(), "links")
+        now = _written(small.where("a <> b").distinct())
         before, state = state, _state(now)
         if state == before:
             break

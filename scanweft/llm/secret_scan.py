@@ -3,7 +3,9 @@
 The lexer reads name-value pairs as source code and configuration files write them (=, :, :=, =>, quoted or
 bare keys, type annotations, joined literals), keeps the constants it has seen in the text, and follows a
 name on the right side to the literals behind it. A literal is reported when the name it reaches is
-sensitive and its own form is not that of a placeholder or a plain word.
+sensitive and its own form is not that of a placeholder or a plain word. Names hold links to the expressions
+before them, and the score of joined literals follows from traits of the parts, so neither the number of
+literals nor that of names on the way is limited, and work grows with the text.
 
 Texts go through it whole. Bytes that no pattern can do without (a separator, AKIA, a run of 16 hex
 digits) are looked for in the buffer of all texts first, so only texts that may match are lexed at all.
@@ -19,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -49,6 +52,10 @@ KEY_BEFORE = {"api", "access", "private", "signing", "encryption", "auth", "acco
 #: What stands for a secret without being one.
 PLACEHOLDERS = {"password", "passwd", "secret", "token", "changeme", "example", "placeholder", "none", "null", "true", "false", "undefined", "todo", "redacted", "required", "optional", "string", "your", "test", "dummy", "sample"}
 LEAST_SCORE = 0.5
+_ODD = re.compile(r"\s|\$\{|\{\{|%\(")
+_THREE = re.compile(r"[0-9]{3}")
+#: Characters kept of each end of a literal: more than any placeholder has.
+_EDGE = max(map(len, PLACEHOLDERS)) + 3
 
 
 class Span(NamedTuple):
@@ -68,41 +75,117 @@ def name_score(name: str) -> float:
     return 0.2 * best if words and words[-1] in ("id", "name", "url", "path", "file", "length", "count", "type", "expiry") else best
 
 
-def literal_score(value: str) -> float:
+class Traits(NamedTuple):
+    """What the score of a literal depends on; those of a join follow from its parts', so long ones are never built."""
+
+    n: int
+    counts: dict[str, int]  # in order of first places
+    odd: bool  # holds what no secret does
+    three: bool  # holds three digits in a row
+    inner: bool  # holds a placeholder's word that touches neither end
+    head: str
+    tail: str
+
+
+def traits(value: str) -> Traits:
+    inner = any(m.start() and m.end() < len(value) and m.group().lower() in PLACEHOLDERS for m in _WORDS.finditer(value))
+    return Traits(len(value), Counter(value), bool(_ODD.search(value)), bool(_THREE.search(value)), inner, value[:_EDGE], value[-_EDGE:])
+
+
+def traits_of_join(a: Traits, b: Traits) -> Traits:
+    if not a.n or not b.n:
+        return a if a.n else b
+    counts = dict(a.counts)
+    for c, n in b.counts.items():
+        counts[c] = counts.get(c, 0) + n
+    seam = a.tail + b.head
+    # a word that touches an end of the seam is longer than any placeholder, seen before, or no inner one
+    inner = a.inner or b.inner or any(m.start() and m.end() < len(seam) and m.group().lower() in PLACEHOLDERS for m in _WORDS.finditer(seam))
+    return Traits(a.n + b.n, counts, a.odd or b.odd or bool(_ODD.search(a.tail[-1] + b.head[0])), a.three or b.three or bool(_THREE.search(a.tail[-2:] + b.head[:2])), inner, (a.head + b.head)[:_EDGE] if a.n < _EDGE else a.head, (a.tail + b.tail)[-_EDGE:] if b.n < _EDGE else b.tail)
+
+
+def _has_placeholder(t: Traits) -> bool:
+    if t.inner:
+        return True
+    if t.n <= _EDGE:
+        return any(w.lower() in PLACEHOLDERS for w in _WORDS.findall(t.head))
+    first = (m.group() for m in _WORDS.finditer(t.head) if not m.start() and m.end() < _EDGE)
+    last = (m.group() for m in _WORDS.finditer(t.tail) if m.start() and m.end() == _EDGE)
+    return any(w.lower() in PLACEHOLDERS for w in (*first, *last))
+
+
+def traits_score(t: Traits) -> float:
     """How much a literal looks like a secret of any kind, from 0 to 1: length, spread of characters, mixture."""
-    if len(value) < 8 or re.search(r"\s|\$\{|\{\{|^\$|^<|%\(|^x+$|^\*+$|^\.+$", value, re.IGNORECASE):
+    n, counts = t.n, t.counts
+    if n < 8 or t.odd or t.head[0] in "$<" or counts.keys() <= {"x", "X"} or counts.keys() in ({"*"}, {"."}):
         return 0.0
-    words = {w.lower() for w in _WORDS.findall(value)}
-    if words & PLACEHOLDERS and not re.search(r"[0-9]{3,}", value):
+    if not t.three and _has_placeholder(t):
         return 0.0
-    n = len(value)
-    spread = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    if classes == 1 and not value.isdigit():
+    spread = -sum(p * math.log2(p) for c in counts.values() if (p := c / n))  # a share can be too small for a float
+    classes = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "" for c in counts})
+    if classes == 1 and not all(c.isdigit() for c in counts):
         return 0.45 if spread < 3.5 or n < 20 else 0.7
     return min(1.0, 0.25 + spread / 6 + 0.1 * (classes - 1) + 0.1 * (n >= 16))
 
 
+def literal_score(value: str) -> float:
+    return traits_score(traits(value))
+
+
+class Expression:
+    """The right side of an assignment: places of literals, and the expressions behind the names in it."""
+
+    __slots__ = ("known", "parts", "told")
+
+    def __init__(self, parts: list[tuple[int, int] | Expression]):
+        self.parts, self.known, self.told = parts, None, False
+
+    def traits(self, text: str) -> Traits:
+        """Of all its literals, joined. Each expression is worked out once."""
+        waiting = [self]
+        while waiting:
+            now = waiting[-1]
+            before = [p for p in now.parts if isinstance(p, Expression) and p.known is None] if now.known is None else []
+            if before:
+                waiting += before
+                continue
+            waiting.pop()
+            if now.known is None:
+                now.known = reduce(traits_of_join, (p.known if isinstance(p, Expression) else traits(text[p[0] : p[1]]) for p in now.parts), traits(""))
+        return self.known
+
+    def literals(self) -> Iterator[tuple[int, int]]:
+        """The places of all its literals, without those that an earlier call has given."""
+        waiting = [self]
+        while waiting:
+            now = waiting.pop()
+            if not now.told:
+                now.told = True
+                for p in now.parts:
+                    if isinstance(p, Expression):
+                        waiting.append(p)
+                    else:
+                        yield p
+
+
 def lexed(text: str) -> list[Span]:
-    """Literals that reach a sensitive name."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    """Literals that reach a sensitive name, however many there are; a name stands for the expression it was given last."""
+    known: dict[str, Expression] = {}
     found: dict[tuple[int, int], Span] = {}
     for pair in _PAIR.finditer(text):
-        pieces: list[tuple[int, int, str]] = []
+        parts: list[tuple[int, int] | Expression] = []
         for part in _PART.finditer(text, *pair.span("value")):
             word = part.group()
             if word[0] in "\"'`":
-                pieces.append((part.start() + 1, part.end() - 1, word[1:-1]))
+                parts.append((part.start() + 1, part.end() - 1))
             elif word in known:
-                pieces += known[word]
+                parts.append(known[word])
             elif word not in "+.":
-                pieces.append((part.start(), part.end(), word))
-        pieces = pieces[:64]  # of one expression, not of the text
-        known[pair["name"]] = pieces
-        known[pair["name"].rpartition(".")[2]] = pieces
+                parts.append(part.span())
+        own = known[pair["name"]] = known[pair["name"].rpartition(".")[2]] = Expression(parts)
         sure = name_score(pair["name"])
-        if sure and pieces and sure * literal_score("".join(v for *_, v in pieces)) >= LEAST_SCORE:
-            for start, end, _ in pieces:
+        if sure and parts and sure * traits_score(own.traits(text)) >= LEAST_SCORE:
+            for start, end in own.literals():
                 if end > start:
                     found[start, end] = Span("literal", start, end, start)
     return sorted(found.values(), key=lambda s: (s.start, s.end))

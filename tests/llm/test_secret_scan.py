@@ -1,5 +1,11 @@
 import hashlib
+import math
 import re
+import time
+from collections import Counter
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from scanweft.llm import secret_scan
 from scanweft.llm.secret_scan import base_spans, lexed, redacted
@@ -76,3 +82,54 @@ def test_redact_keeps_everything_else(docs, empty, rows):
     assert got.columns == docs.columns and got.count() == len(rows)
     assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
     assert secret_scan.redact(empty).count() == 0 and secret_scan.scan(empty).count() == 0
+
+
+def plain_score(value):
+    """The score of a literal by its whole text."""
+    if len(value) < 8 or re.search(r"\s|\$\{|\{\{|^\$|^<|%\(|^x+$|^\*+$|^\.+$", value, re.IGNORECASE):
+        return 0.0
+    words = {w.lower() for w in secret_scan._WORDS.findall(value)}
+    if words & secret_scan.PLACEHOLDERS and not re.search(r"[0-9]{3,}", value):
+        return 0.0
+    n = len(value)
+    spread = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    if classes == 1 and not value.isdigit():
+        return 0.45 if spread < 3.5 or n < 20 else 0.7
+    return min(1.0, 0.25 + spread / 6 + 0.1 * (classes - 1) + 0.1 * (n >= 16))
+
+
+PIECE = st.one_of(st.text("aZxX09.*${%(< -é", max_size=4), st.text("toke", max_size=4), st.sampled_from([*sorted(secret_scan.PLACEHOLDERS), "PASS", "WORD", "Tok", "en", "A", "s", "place", "holder", "TOKEN", "12", "3", "abcdefghijklmnop", "²"]))
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(PIECE, max_size=9))
+def test_score_of_a_join_follows_from_its_parts(parts):
+    whole = "".join(parts)
+    assert secret_scan.literal_score(whole) == plain_score(whole)
+    left, right = secret_scan.traits(""), secret_scan.traits("")
+    for p in parts:
+        left = secret_scan.traits_of_join(left, secret_scan.traits(p))
+    for p in reversed(parts):
+        right = secret_scan.traits_of_join(secret_scan.traits(p), right)
+    assert left == right == secret_scan.traits(whole)
+    assert secret_scan.traits_score(left) == plain_score(whole)
+
+
+def test_no_literal_of_many_is_left(spark):
+    parts = [f"Zq{i:03}k" for i in range(300)]
+    line = "token = " + " + ".join(f'"{p}"' for p in parts)
+    lines = 'secret = ""\n' + "\n".join(f'secret = secret + "{p}"' for p in parts)
+    through = "\n".join([f'k0 = "{parts[0]}"', *(f'k{i} = k{i - 1} + "{p}"' for i, p in enumerate(parts) if i), "password = k299"])
+    for text in (line, lines, through):
+        assert values(text) == parts
+    got = secret_scan.redact(spark.createDataFrame([(1, line), (2, lines), (3, through)], "doc_id long, text string")).collect()
+    assert not any(p in r.text for r in got for p in parts)
+
+
+def test_work_grows_with_the_text():
+    start = time.monotonic()
+    assert len(values('token = "Zq81hunt"\n' + "token = token + token\n" * 5000)) == 1
+    assert len(values("\n".join(f'token = token + "Zq{i}k"' for i in range(20_000)))) == 20_001
+    assert values('token = "test-"\n' + 'token = token + "test-"\n' * 20_000) == []  # none settles those before it
+    assert time.monotonic() - start < 60

@@ -167,7 +167,10 @@ def _common(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(named: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
-    """Rows (shingle, doc_id) of the prefix of every set; a set that a task has met before is left out."""
+    """Rows (shingle, doc_id) of the prefix of every set; a set that a task has met before is left out.
+
+    Rows with a null id send none, so they come out first: they must not stand for a set that others send.
+    """
     sent = named.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +197,7 @@ def _prefixes(named: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
             take = (rank < (n - rule.least(n) + 1)[s.row]) & new[s.row]
             yield arrow_rows({"shingle": s.shingle[take].view(np.int64), "doc_id": step.column(0).take(pa.array(s.row[take]))}, {"shingle": pa.int64(), "doc_id": pa.int64()})
 
-    return named.mapInArrow(run, "shingle long, doc_id long")
+    return named.where("doc_id is not null").mapInArrow(run, "shingle long, doc_id long")
 
 
 def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,7 +500,7 @@ def joined(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
     classes = stored(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.any_value("small").alias("small"), F.any_value("wide").alias("wide")), "classes")
     reps = classes.where("rep is not null").select("rep", "n", "small", "wide")
     to_rep = sets.where("n > 0 and doc_id is not null").join(classes.select(*key, "rep"), key).select("doc_id", "rep")
-    met = _prefixes(named, rule, common).where("doc_id is not null").repartition("shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(_met_again, "shingle long, doc_id long, first long")
+    met = _prefixes(named, rule, common).repartition("shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(_met_again, "shingle long, doc_id long, first long")
     met = on_disk(met)
     moved = stored(to_rep.where("doc_id <> rep"), "moved")
     stars = met.where("doc_id <> first").select("doc_id", "first").distinct()

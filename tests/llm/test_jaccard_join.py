@@ -146,3 +146,12 @@ def test_streams_of_groups_however_batches_are_cut():
                 (large if is_large else whole).setdefault(k, []).append(x)
         assert not set(whole) & set(large)
         assert {k: v for k, v in (whole | large).items()} == by
+
+
+def test_a_null_id_in_front_hides_no_set(spark):
+    words = [f"a{i}" for i in range(100)]
+    rows = [(None, " ".join(words)), (5, " ".join(words)), (9, " ".join([*words[:99], "other"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # one task, in this order
+    out = sorted(map(tuple, jj.joined(table).rows.collect()), key=str)
+    assert out == brute(rows, jj.Rule()) and {c for *_, c in out} == {5}
+    assert sorted(r.doc_id or 0 for r in jj.deduplicated(table).collect()) == [0, 5]

@@ -5,7 +5,8 @@ space between two non-spaces. So a text is cut at such spaces, a worker remember
 and the ids of a text are the joined ids of its pieces. A new piece is split by the tokenizer's own
 pattern, and its words are merged by the library's model. Pieces with characters beyond Latin-1, and
 texts in which spaces meet other white space, go through the library as a whole, as does every text of a
-tokenizer of another kind. Workers load the tokenizer from its file; nothing is sent to them.
+tokenizer of another kind. A text that holds an added token (such as <|endoftext|>) goes through the library
+too, so that its ids are those of the tokenizer as it is loaded. Workers load the tokenizer from its file; nothing is sent to them.
 """
 
 from __future__ import annotations
@@ -55,15 +56,18 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes of `dtype`."""
+    """Ids of texts as little-endian bytes of `dtype`.
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    special: whether special tokens in a text get their own ids, the library's default, or are encoded as plain text.
+    """
+
+    def __init__(self, path: str, dtype: str = "<u4", special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         self.dtype, self.code, self.model, self.table = np.dtype(dtype), {2: "H", 4: "I"}[np.dtype(dtype).itemsize], self.library.model, {c: "".join(byte_letters()[b] for b in chr(c).encode()) for c in range(256)}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -75,6 +79,10 @@ class Encoder:
             self.kind, self.split = "spaced", regex.compile(BYTE_LEVEL)
         elif steps == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in stages] == ["Split", "ByteLevel"] and stages[0]["behavior"] == "Removed" and stages[0]["invert"] and not stages[1]["use_regex"] and not stages[1]["add_prefix_space"]:
             self.kind, self.split = "unspaced", regex.compile(stages[0]["pattern"]["Regex"])
+        own = [t for t in spec.get("added_tokens") or [] if special or not t["special"]]
+        if normal is not None and any(t["normalized"] for t in own):  # these can be met in other writings
+            self.kind = ""
+        self.added = tuple(t["content"] for t in own)
         self.words = _Pieces(self._merge)
         self.first = _Pieces(self._piece)
         self.later = self.first if self.kind == "unspaced" else _Pieces(lambda p: self._piece(" " + p))
@@ -100,6 +108,9 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def text(self, text: str) -> bytes:
+        for token in self.added:
+            if token in text:
+                return self.whole(text)
         if self.kind == "unspaced":
             return b"".join(map(self.first.__getitem__, text.split(" ")))
         if self.kind == "spaced" and not self._spaces_meet(text):
@@ -121,7 +132,7 @@ class Encoder:
 
 
 def encoder(path: str, dtype: str = "<u4") -> Encoder:
-    """One encoder per worker, file and type."""
+    """One encoder per worker, file and type; its ids are those of the library with add_special_tokens=False."""
     if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = Encoder(path, dtype)
+        _encoders[path, dtype] = Encoder(path, dtype, special=True)
     return _encoders[path, dtype]

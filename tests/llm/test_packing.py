@@ -46,6 +46,14 @@ def test_every_token_once(docs, rows, window, quantum):
     check(rows, packing.pack(packing.encode_queues(docs, TOKENIZER), window, quantum).collect(), window)
 
 
+def test_special_tokens_of_texts(spark):
+    rows = [(0, "see <|endoftext|> here", "a"), (1, "<|endoftext|><|endoftext|>", "b"), (2, "none", "a")]
+    pieces = packing.pack(packing.encode_queues(spark.createDataFrame(rows, "doc_id long, text string, source string"), TOKENIZER)).collect()
+    plain = Tokenizer.from_file(TOKENIZER)
+    want = {d: [*plain.encode(t, add_special_tokens=False).ids, 1] for d, t, _ in rows}
+    assert {p.doc_id: (p.length, p.ids_crc32) for p in pieces} == {d: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, ids in want.items()}
+
+
 def test_empty(empty):
     assert packing.pack(packing.encode_queues(empty, TOKENIZER)).count() == 0
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from scanweft.llm import simple8b, token_output
-from scanweft.llm.encoding import Encoder
+from scanweft.llm.encoding import Encoder, encoder
 
 ODD = ["", " ", "  a", "a  b", "a\nb c\n d", "It's we'll THEY'RE", "x" * 3000, "ÀÉ ß İstanbul ΑΣ ὈΔΥΣΣΕΎΣ", "é ä 가", "a b 　c  d", "12 345\t6", "😀 👩‍👩‍👧 | x|y \n| z", "<|endoftext|> a <|startoftext|>", "\x1c a\x85b ﻿c", "don't  'S 'll", " lead", "trail ", "trail\n"]
 
@@ -55,3 +55,25 @@ def test_empty(spark, empty):
     path = token_output.tokens_path(spark)
     token_output.write_tokens(empty, public_tokenizers.path("word_bpe_49k.json"), path)
     assert token_output.read_digest(spark, path).count() == 0
+
+
+SPECIAL = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|startoftext|>b", "x  <|startoftext|> \n É<|endoftext|> ", "<|ENDOFTEXT|> <|endoftext", "no such token, It's 12"]
+
+
+@pytest.mark.parametrize(("name", "dtype"), [("word_bpe_49k.json", "<u4"), ("byte_bpe_50k.json", "<u2")])
+def test_ids_are_those_of_an_unmodified_tokenizer(rows, name, dtype):
+    own, plain = encoder(public_tokenizers.path(name), dtype), Tokenizer.from_file(public_tokenizers.path(name))
+    texts = SPECIAL + ODD + [r[1] or "" for r in rows]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t[:60]
+
+
+def test_files_hold_special_tokens_of_texts(spark):
+    path, name = token_output.tokens_path(spark), public_tokenizers.path("word_bpe_49k.json")
+    token_output.write_tokens(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string"), name, path)
+    want, start, plain = [], 0, Tokenizer.from_file(name)
+    for i, text in enumerate(SPECIAL):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_output.read_digest(spark, path).collect())) == want

@@ -5,8 +5,10 @@ medians, in several rounds; depth follows the number of classes, so a block stay
 many rows there are. Within a block, many one-dimensional projections are sorted; a query's window in each
 holds what lies within `width` of it, and each pair counts the windows it shares. Pairs with enough
 collisions are verified by their cosine in double precision. The number of rounds is calibrated on a
-bounded sample: vectors at exactly the threshold are made from sampled ones, and rounds are added until
-the wanted share of such pairs meets in a block and passes the count. Every row is indexed and queried.
+bounded sample of each length of vectors: vectors at exactly the threshold are made from sampled ones, and rounds
+are added until the wanted share of such pairs meets in a block and passes the count. Where the most
+rounds don't reach it, as with vectors that lie close together, blocks get fewer signs and so grow, down to one
+block of all. Every row is indexed and queried.
 
 A pair counts in the first round whose block it shares, so nothing about pairs leaves a task: only each
 class's number of links and a spanning forest of them. Blocks of more than PART classes are split into
@@ -39,7 +41,7 @@ MOST_ROUNDS = 400
 
 
 class Plan(NamedTuple):
-    """What the sample has settled; equal everywhere."""
+    """What the sample of the vectors of one length has settled; equal everywhere."""
 
     dim: int
     medians: np.ndarray
@@ -60,8 +62,7 @@ class Plan(NamedTuple):
         """The block of each unit vector in every round."""
         if not self.bits:
             return np.zeros((len(x), self.rounds), np.int64)
-        medians = self.medians if x.shape[1] == self.dim else np.zeros(self.rounds * self.bits)
-        signs = (x @ self.planes(x.shape[1]).T > medians).reshape(len(x), self.rounds, self.bits)
+        signs = (x @ self.planes(x.shape[1]).T > self.medians).reshape(len(x), self.rounds, self.bits)
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
@@ -70,30 +71,35 @@ def _binomial_tail(n: int, p: float, k: int) -> float:
 
 
 def calibrated(sample: np.ndarray, classes: int, threshold: float, recall: float, seed: int) -> Plan:
-    """sample: unit vectors. The least rounds with which pairs at the threshold are found with `recall`."""
+    """sample: unit vectors. The least rounds with which pairs at the threshold are found with `recall`, in the
+    smallest blocks for which MOST_ROUNDS are enough."""
     dim = sample.shape[1]
     sigma = math.sqrt(2 - 2 * threshold)  # of the difference of two unit vectors' projections
     width = sigma
     inside = math.erf(width / sigma / math.sqrt(2))
     least = max(k for k in range(PROJECTIONS + 1) if _binomial_tail(PROJECTIONS, inside, k) >= 1 - (1 - recall) / 4)
     bits = max(0, math.ceil(math.log2(max(1, classes) / BLOCK)))
+    exact = Plan(dim, np.zeros(0), 0, 1, width, least, threshold, seed)
     if not bits:
-        return Plan(dim, np.zeros(0), 0, 1, width, least, threshold, seed)
+        return exact
     rng = np.random.default_rng([seed, 3])
     away = rng.standard_normal(sample.shape)
     away -= (away * sample).sum(axis=1, keepdims=True) * sample
     away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
     twins = threshold * sample + math.sqrt(1 - threshold**2) * away
-    plan = Plan(dim, np.zeros(MOST_ROUNDS * bits), bits, MOST_ROUNDS, width, least, threshold, seed)
-    planes = plan.planes(dim)
-    met, rounds, medians = np.zeros(len(sample), bool), 0, []
-    while rounds < MOST_ROUNDS and met.mean() < 1 - (1 - recall) / 2:
-        own = planes[rounds * bits : (rounds + 1) * bits]
-        at = sample @ own.T
-        medians.append(np.median(at, axis=0))
-        met |= ((at > medians[-1]) == (twins @ own.T > medians[-1])).all(axis=1)
-        rounds += 1
-    return plan._replace(medians=np.concatenate(medians), rounds=rounds)
+    for bits in range(bits, 0, -1):
+        plan = Plan(dim, np.zeros(MOST_ROUNDS * bits), bits, MOST_ROUNDS, width, least, threshold, seed)
+        planes = plan.planes(dim)
+        met, rounds, medians = np.zeros(len(sample), bool), 0, []
+        while rounds < MOST_ROUNDS and met.mean() < 1 - (1 - recall) / 2:
+            own = planes[rounds * bits : (rounds + 1) * bits]
+            at = sample @ own.T
+            medians.append(np.median(at, axis=0))
+            met |= ((at > medians[-1]) == (twins @ own.T > medians[-1])).all(axis=1)
+            rounds += 1
+        if met.mean() >= 1 - (1 - recall) / 2:
+            return plan._replace(medians=np.concatenate(medians), rounds=rounds)
+    return exact
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -147,12 +153,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     classes = stored(rows.where(valid).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-    sampled = classes.orderBy(F.xxhash64("rep"), "rep").select("v").limit(SAMPLE).collect()  # bounded
     lone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sampled:
+    lengths = {r["d"]: r["c"] for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).collect()}  # one number per length
+    if not lengths:
         return lone
-    size = max({len(r[0]) for r in sampled}, key=lambda d: (sum(len(r[0]) == d for r in sampled), d))
-    plan = calibrated(_unit(np.array([r[0] for r in sampled if len(r[0]) == size], np.float64)), classes.count(), threshold, recall, seed)
+
+    def planned(dim: int, count: int) -> Plan:
+        if count <= BLOCK:  # one block, whatever is sampled
+            return calibrated(np.zeros((0, dim)), count, threshold, recall, seed)
+        sampled = classes.where(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").select("v").limit(SAMPLE).collect()  # bounded
+        return calibrated(_unit(np.array([r[0] for r in sampled], np.float64)), count, threshold, recall, seed)
+
+    plans = {dim: planned(dim, count) for dim, count in lengths.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -163,10 +175,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
                 for dim in np.unique(dims).tolist():
                     mine = np.flatnonzero(dims == dim)
                     x = lists.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), dim)
-                    keys = plan.keys(_unit(x))
+                    keys = plans[dim].keys(_unit(x))
                     raw, held = [r.tobytes() for r in x.astype(dtype)], [k.tobytes() for k in keys]
                     rep, copies = (batch.column(c).take(pa.array(mine)) for c in (1, 2))
-                    for r in range(plan.rounds):
+                    for r in range(plans[dim].rounds):
                         yield arrow_rows({"round": np.full(len(mine), r), "dim": np.full(len(mine), dim), "block": keys[:, r], "rep": rep, "copies": copies, "vector": raw, "keys": held}, {"round": pa.int32(), "dim": pa.int32(), "block": pa.int64(), "rep": pa.int64(), "copies": pa.int64(), "vector": pa.binary(), "keys": pa.binary()})
 
     dealt = stored(classes.select("v", "rep", "copies").mapInArrow(deal, "round int, dim int, block long, rep long, copies long, vector binary, keys binary"), "blocks")
@@ -198,6 +210,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
         rep, copies, side = (tile.column(c).to_numpy() for c in ("rep", "copies", "side"))
         if len(rep) < 2:
             return
+        plan = plans[at[1]]
         x = _unit(np.frombuffer(b"".join(tile.column("vector").to_pylist()), dtype).reshape(len(rep), at[1]))
         keys = np.frombuffer(b"".join(tile.column("keys").to_pylist()), np.int64).reshape(len(rep), plan.rounds)
         links, a_all, b_all = np.zeros(len(rep), np.int64), [], []

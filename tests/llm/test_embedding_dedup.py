@@ -76,3 +76,38 @@ def test_empty_and_null_ids(spark):
     assert ed.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     got = ed.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.0]), (9, [1e200, 0.0]), (7, [1e-200, 0.0])], schema)).collect()
     assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == [("5", 2, 5), ("7", 2, 5), ("9", 2, 5), ("None", 0, None)]
+
+
+def close_together(seed, n, dim):
+    """Vectors of a mean cosine of 0.7, every third with a twin at a cosine of about 0.92."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(0.7) * unit(np.ones(dim)) + np.sqrt(0.3) * unit(rng.standard_normal((n, dim))))
+    away = rng.standard_normal((n, dim))
+    away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    x[2::3] = (0.92 * x + np.sqrt(1 - 0.92**2) * away)[1::3][: len(x[2::3])]
+    return x
+
+
+def test_too_few_rounds_give_larger_blocks(monkeypatch):
+    monkeypatch.setattr(ed, "MOST_ROUNDS", 20)
+    x = close_together(1, 2000, 32)
+    wide, small = ed.calibrated(x, 10**8, 0.9, 0.98, 11), ed.calibrated(x, 1000, 0.9, 0.98, 11)
+    assert small.bits == 1 and wide.bits < 18 and wide.rounds <= 20
+    rng = np.random.default_rng(2)
+    away = rng.standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    twins = 0.9 * x + np.sqrt(1 - 0.81) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    for plan in (wide, small):
+        assert (plan.keys(x) == plan.keys(twins)).any(axis=1).mean() >= 0.97
+
+
+def test_recall_of_close_vectors_and_of_every_length(spark, monkeypatch):
+    monkeypatch.setattr(ed, "MOST_ROUNDS", 6)
+    monkeypatch.setattr(ed, "BLOCK", 40)
+    vectors = [v.tolist() for dim, n in ((24, 500), (16, 300), (8, 30)) for v in close_together(dim, n, dim)]
+    links, _ = brute(vectors)
+    got = run(spark, vectors, "vec_id long, embedding array<double>, label int")
+    n = np.array([got[i].n_links for i in range(len(vectors))])
+    assert (n <= links.sum(axis=1)).all() and n.sum() >= 0.97 * links.sum()
+    assert n[500:800].sum() >= 0.97 * links.sum(axis=1)[500:800].sum()

@@ -4,8 +4,8 @@ The text is all sequences, each followed by a separator. Suffixes are ordered by
 which is all that patterns of up to that length need: the suffixes that start with a pattern P lie together,
 and one word c before P leads to C[c] plus the ranks of c at both ends of P's interval, as no suffix
 outside the interval can tie with P. The Burrows-Wheeler transform is a wavelet matrix: a level per bit
-of a word's number, each a packed bit vector with counts per 64 bits. Suffix positions aren't kept: what
-remains of them is the number of occurrences before each place and where prefixes of window - 1 words end.
+of a word's number, each a compressed bit vector. Suffix positions aren't kept: what remains of them is the
+number of occurrences before each place and where prefixes of window - 1 words end.
 """
 
 from __future__ import annotations
@@ -13,27 +13,54 @@ from __future__ import annotations
 import numpy as np
 
 
+class Bits:
+    """A bit vector that keeps only the 64-bit words that hold both zeros and ones, as the transform has long runs.
+
+    Per word: a byte (its kind and how many kept words its block of 8 has before it) and the ones before it in its
+    block, in 16 bits; per block: the ones and the kept words before it.
+    """
+
+    def __init__(self, bit: np.ndarray):
+        words = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 512 + 512, bool)]), bitorder="little").view("<u8")
+        ones = np.bitwise_count(words).astype(np.int64).reshape(-1, 8)
+        mixed = ((ones != 0) & (ones != 64)).astype(np.int64)
+        self.ones = (np.cumsum(ones.sum(axis=1)) - ones.sum(axis=1)).astype(np.uint32)
+        self.within = (np.cumsum(ones, axis=1) - ones).astype(np.uint16).ravel()
+        self.first = (2 + np.cumsum(mixed.sum(axis=1)) - mixed.sum(axis=1)).astype(np.uint32)
+        self.kind = (np.where(mixed == 1, 2, ones == 64) << 6 | (np.cumsum(mixed, axis=1) - mixed)).astype(np.uint8).ravel()
+        # the two words that aren't kept come first
+        self.kept = np.concatenate([np.array([0, ~np.uint64(0)], np.uint64), words[mixed.ravel() == 1]])
+        self.total = int(ones.sum())
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """The ones before each place."""
+        word, block = at >> 6, at >> 9
+        kind = self.kind[word]
+        own = self.kept[np.where(kind >= 128, self.first[block] + (kind & 15), kind >> 6)]
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[block].astype(np.int64) + self.within[word] + np.bitwise_count(own & below)
+
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.ones, self.within, self.first, self.kind, self.kept))
+
+
 class WaveletMatrix:
     def __init__(self, sequence: np.ndarray, symbols: int):
         self.bits = max(1, int(symbols - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
+        self.levels, self.zeros = [], []
         for level in range(self.bits):
             bit = ((sequence >> (self.bits - 1 - level)) & 1).astype(bool)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 64 + 64, bool)]), bitorder="little").view("<u8")
-            self.words.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))]).astype(np.int32))
-            self.zeros.append(int(len(bit) - bit.sum()))
+            self.levels.append(Bits(bit))
+            self.zeros.append(len(bit) - self.levels[-1].total)
             sequence = np.concatenate([sequence[~bit], sequence[bit]])
         # where each symbol's run begins after the last level
         self.first = np.searchsorted(_reversed(sequence, self.bits), _reversed(np.arange(symbols), self.bits))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
-        for level in range(self.bits):
-            words, counts = self.words[level], self.counts[level]
-            block = at >> 6
-            ones = counts[block] + np.bitwise_count(words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            at = np.where((symbol >> (self.bits - 1 - level)) & 1, self.zeros[level] + ones, at - ones)
+        for level, zeros in enumerate(self.zeros):
+            ones = self.levels[level].rank(at)
+            at = np.where((symbol >> (self.bits - 1 - level)) & 1, zeros + ones, at - ones)
         return at - self.first[symbol]
 
 
@@ -73,7 +100,7 @@ class FMIndex:
         inside = np.ones(len(text), bool)
         inside[ends + np.arange(len(ends))] = False
         text[inside] = number + 1
-        self.text = text
+        self.text = text.astype(np.int32)  # the streamed sequences by number; no part of the index
         n = len(text)
         ranks, reach = text, 1
         while 2 * reach <= window:
@@ -92,7 +119,8 @@ class FMIndex:
         self.low = np.maximum.accumulate(np.where(edge, place, 0))[:n].astype(np.int32)
         self.high = np.minimum.accumulate(np.where(edge, place, n)[::-1])[::-1][1:].astype(np.int32)
         owner = np.repeat(np.arange(len(ends)), self.lengths + 1)
-        self.occurrences = np.concatenate([[0], np.cumsum(times.astype(np.int64)[owner[order]])])
+        passed = np.concatenate([[0], np.cumsum(times.astype(np.int64)[owner[order]])])
+        self.occurrences = passed.astype(np.int32) if passed[-1] < 1 << 31 else passed
         counts = np.bincount(text, minlength=len(names) + 1)
         self.before = np.cumsum(counts) - counts
         self.wavelet = WaveletMatrix(text[order - 1], len(names) + 1)
@@ -125,20 +153,19 @@ class FMIndex:
                 return 0
         return int(self.occurrences[high[0]] - self.occurrences[low[0]])
 
-    def window_counts(self) -> list[np.ndarray]:
-        """For each sequence: occurrences, in all of them, of the window at each of its places.
+    def window_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences, in all sequences, of every window of every sequence in turn, and where each one's begin.
 
         The sequences are streamed against the index from their ends, all in step. The interval of a match of
         `window` words is widened to that of its first window - 1 before the next word, so the matching
         statistics are cut off at the window, and no interval is ever empty: the sequence itself is in it.
         """
         low, high = np.zeros(len(self.lengths), np.int64), np.full(len(self.lengths), self.size)
-        out = [np.zeros(max(0, k - self.window + 1), np.int64) for k in self.lengths.tolist()]
-        flat = np.zeros(int(np.maximum(0, self.lengths - self.window + 1).sum()), np.int64)
-        slots = np.cumsum(np.maximum(0, self.lengths - self.window + 1)) - np.maximum(0, self.lengths - self.window + 1)
+        windows = np.maximum(0, self.lengths - self.window + 1)
+        slots = np.cumsum(windows) - windows
+        flat = np.zeros(int(windows.sum()), np.int64)
         by_length = np.argsort(-self.lengths, kind="stable")
-        lengths, starts, slots_in = self.lengths[by_length], self.starts[by_length], slots[by_length]
-        low, high = low[by_length], high[by_length]
+        lengths, starts, own = self.lengths[by_length], self.starts[by_length], slots[by_length]
         for done in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths, -done, side="left"))  # sequences of more than `done` words
             at = lengths[:live] - 1 - done
@@ -146,7 +173,5 @@ class FMIndex:
                 low[:live], high[:live] = self.low[low[:live]], self.high[low[:live]]
             low[:live], high[:live] = self.step(low[:live], high[:live], self.text[starts[:live] + at])
             if done + 1 >= self.window:
-                flat[slots_in[:live] + at] = self.occurrences[high[:live]] - self.occurrences[low[:live]]
-        for i, (s, o) in enumerate(zip(slots.tolist(), out, strict=True)):
-            out[i] = flat[s : s + len(o)]
-        return out
+                flat[own[:live] + at] = self.occurrences[high[:live]] - self.occurrences[low[:live]]
+        return flat, slots

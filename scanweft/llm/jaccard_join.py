@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanweft.llm.components import components
-from scanweft.llm.shared import arrow_rows, buffer_of, gram_hash, letter_values, mix, on_disk, prefix_hash, range_hash, steps, stored, texts, words_of
+from scanweft.llm.shared import arrow_rows, buffer_of, gram_hash, mix, on_disk, span_hash, steps, stored, texts, words_of
 
 #: Bits of the small signature that every comparison starts with, and at most of the wide one.
 BITS, MOST_BITS = 512, 1 << 17
@@ -78,7 +78,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Sets:
     """The sorted distinct shingles of each text, A-Z taken as a-z."""
     n = len(offsets) - 1
     starts, ends, row = words_of(raw, offsets)
-    words = range_hash(prefix_hash(letter_values(_LOWER[raw])), starts, ends)
+    words = span_hash(_LOWER[raw], starts, ends)
     count = np.bincount(row, minlength=n)
     inside = np.flatnonzero(row[k - 1 :] == row[: len(row) - k + 1]) if len(row) >= k else np.zeros(0, np.int64)
     grams, owner = gram_hash(words, k)[inside], row[inside]

@@ -12,9 +12,12 @@
 Sites are aggregated with partial sums before any shuffle, so a host with a third of all rows costs no
 more than others; their table is broadcast only if it is small, and joined by shuffle otherwise.
 
-Defined results: a null text is empty; null hosts and paths are groups of their own; without labels of both
-kinds the text says nothing and every document is kept; an empty table gives no rows; repeated rows each
-get their result; other columns are kept by `filtered` and ignored by `judged`.
+Defined results: a null text is empty; very long texts are counted whole; null ids stay, and are never in the sample;
+null hosts and paths are groups of their own; without labels of both kinds the text says nothing and every document
+is kept; of an id with two labels the better one counts; an empty table gives no rows; repeated rows each
+get their result; other columns, of whatever name, are kept by `filtered` and ignored by `judged`.
+
+`host_of` and `path_of` derive host and path from a URL; a table without URLs gives its source and language.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanweft.llm.shared import bound_batches, buffer_of, steps, stored
+from scanweft.llm.shared import bound_batches, buffer_of, column, plain, steps, stored
 from scanweft.llm.text_features import COUNTS, features
 
 #: Labelled documents that the model is fitted to, at most.
@@ -38,6 +41,19 @@ BROADCAST_ROWS = 50_000
 EVIDENCE = "__evidence"
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL in small letters, without a leading www. or port; null where there is none."""
+    found = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), r"^www\.", "")
+    return F.nullif(found, F.lit(""))
+
+
+def path_of(url: Column, depth: int = 1) -> Column:
+    """The first `depth` folders of a URL's path, as /a/b/; the file's name, query and fragment aren't in it."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?", 1)
+    folders = F.filter(F.split(F.regexp_replace(path, r"[^/]*$", ""), "/"), lambda x: x != "")
+    return F.when(host_of(url).isNotNull(), F.concat(F.lit("/"), F.array_join(F.transform(F.slice(folders, 1, depth), lambda x: F.concat(x, F.lit("/"))), "")))
+
+
 class Model(NamedTuple):
     center: np.ndarray
     scale: np.ndarray
@@ -89,9 +105,9 @@ def counted(docs: DataFrame, text_col: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """The model of a bounded sample of labelled documents, or None if it has not both kinds."""
-    labelled = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__good")).where("__id is not null and __good is not null")
+    labelled = labels.select(column(id_col).alias("__id"), column(label_col).cast("double").alias("__good")).where("__id is not null and __good is not null")
     chosen = labelled.groupBy("__id").agg(F.max("__good").alias("__good")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(column(id_col).alias("__id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
     rows = counted(texts.join(F.broadcast(chosen), "__id"), "text").orderBy("__id").limit(2 * sample).toPandas()  # `sample` ids at most are broadcast
     good = rows["__good"].to_numpy() >= 0.5
     if not 0 < good.sum() < len(good):
@@ -160,7 +176,7 @@ def with_posterior(scored: DataFrame, s: Sites) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Per document: the log odds of its text, the means of host and path, the posterior, and whether it is kept."""
     model = train(docs, labels, sample, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.cast("string").alias("__host"), path.cast("string").alias("__path"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), host.cast("string").alias("__host"), path.cast("string").alias("__path"), column(text_col).cast("string").alias("text"))
     scored = stored(evidenced(rows, model).drop("text"), "quality-evidence")
     out = with_posterior(scored, sites(scored))
     return out.select("doc_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col(EVIDENCE).alias("evidence"), F.col("__host_mean").alias("host_mean"), F.col("__path_mean").alias("path_mean"), F.col("__posterior").alias("posterior"), (F.col("__posterior") >= threshold).alias("kept"))
@@ -169,6 +185,7 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thres
 def filtered(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The documents that are kept, with all their columns. Texts are scored twice, so that none is ever shuffled."""
     model = train(docs, labels, sample, id_col, text_col)
-    named = docs.withColumns({"__host": host.cast("string"), "__path": path.cast("string")})
-    sums = evidenced(named.select("__host", "__path", text_col), model, text_col).drop(text_col)
-    return with_posterior(evidenced(named, model, text_col), sites(sums)).where(F.col("__posterior") >= threshold).select(docs.columns)
+    rows, (own_text,) = plain(docs, text_col)
+    named = docs.select(*map(column, docs.columns), host.cast("string"), path.cast("string")).toDF(*rows.columns, "__host", "__path")
+    sums = evidenced(named.select("__host", "__path", own_text), model, own_text).drop(own_text)
+    return with_posterior(evidenced(named, model, own_text), sites(sums)).where(F.col("__posterior") >= threshold).select(rows.columns).toDF(*docs.columns)

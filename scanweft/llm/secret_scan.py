@@ -27,9 +27,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, steps, texts
+from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, column, plain, steps, texts
 
 KINDS = ["assign", "access", "hex", "literal"]
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -257,16 +256,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 spans[i] = joined(own)
             yield arrow_rows({"doc_id": step.column(0), "n_assign": n["assign"], "n_access": n["access"], "n_hex": n["hex"], "base_sha256": sha, "spans": spans, "n_literal": n["literal"]}, _DIGEST)
 
-    return texts(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col).mapInArrow(run, DIGEST)
+    return texts(docs, column(id_col).cast("long").alias("doc_id"), text=text_col).mapInArrow(run, DIGEST)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets in text_col replaced; texts without any, and null texts, stay as they are."""
     bound_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
+    rows, (own_text,) = plain(docs, text_col)
+    at = rows.columns.index(own_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches, text_col):
+        for step in steps(batches, own_text):
             column = step.column(at)
             found = spans_of(column)
             if found:
@@ -276,4 +276,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 step = step.set_column(at, step.schema.field(at), pa.array(cleaned, column.type))
             yield step
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

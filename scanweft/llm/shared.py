@@ -17,11 +17,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
+#: Bytes that the hashes of ranges are worked out for in one go; a longer range is one of its own.
+STRETCH_BYTES = 1 << 17
 
 _LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
@@ -36,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scanweft-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -68,6 +72,21 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever it holds (dots are no field access)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1 and so on, and what the named ones are called now.
+
+    So columns of any name (with dots, or like those of an operator) pass through a plan; toDF(*df.columns) names them again.
+    """
+    of = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    folded = {c.lower(): new for c, new in of.items()}
+    return df.toDF(*of.values()), [of.get(n) or folded[n.lower()] for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,7 +94,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The named columns and the text as string, null as empty; other columns of docs never meet operator columns."""
     bound_batches(docs.sparkSession)
-    return docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return docs.select(*keep, F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
 
 
 def trim() -> None:
@@ -131,21 +150,10 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_LETTERS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}
-
-
-def _power(n: int, inverse: bool = False) -> np.ndarray:
-    if len(_powers[inverse]) < n:
-        x = np.full(max(n, STEP_BYTES + 2), _R_INV if inverse else _R, np.uint64)
-        x[0] = 1
-        x = np.cumprod(x, dtype=np.uint64)
-        if n > 4 * STEP_BYTES:
-            return x[:n]
-        _powers[inverse] = x
-    return _powers[inverse][:n]
+_SEED = np.random.default_rng(20240607)
+_LETTERS = _SEED.integers(0, 1 << 64, 256, dtype=np.uint64)
+_START = _SEED.integers(0, 1 << 64, dtype=np.uint64)
+_FACTORS = np.zeros(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -157,32 +165,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * r**i modulo 2**64, for range_hash."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(len(values)), out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The 64-bit hash of each range: equal ranges have equal hashes wherever they stand."""
-    return mix((prefix[ends] - prefix[starts]) * _power(len(prefix), True)[starts] + (ends - starts).astype(np.uint64))
-
+def _factors(n: int) -> np.ndarray:
+    """An odd factor for every place in a range, each a value of its own and no power of another."""
+    global _FACTORS
+    if len(_FACTORS) < n:
+        out = mix(np.arange(max(n, 4096), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _START) | np.uint64(1)
+        if n > 4 * STEP_BYTES:
+            return out
+        _FACTORS = out
+    return _FACTORS
 
-def letter_values(raw: np.ndarray) -> np.ndarray:
-    """A random odd 64-bit value for each byte."""
-    return _LETTERS[raw]
 
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each range of bytes; ranges ascend and don't overlap. Equal ranges have equal hashes.
 
-def byte_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_hash(letter_values(raw)), starts, ends)
+    A sum over the bytes of a value of the byte times a factor of its place in the range. Factors that were powers
+    of one base would let texts of a simple pattern (Thue-Morse words) collide whatever the base.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # in stretches that stay in a core's cache
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH_BYTES, side="right")))
+        first, last = int(starts[at]), int(ends[to - 1])
+        begin, end = starts[at:to] - first, ends[at:to] - first
+        own = np.arange(last - first)
+        own -= np.repeat(begin, np.diff(np.append(begin, last - first)))
+        # a place between two ranges is never read
+        values = _LETTERS.take(raw[first:last]) * _factors(int((end - begin).max())).take(own, mode="clip")
+        total = np.concatenate([values[:1] * np.uint64(0), np.cumsum(values)])
+        out[at:to] = total.take(end) - total.take(begin) + (end - begin).astype(np.uint64)
+        at = to
+    return mix(out)
 
 
 _GRAM = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hash(words: np.ndarray, k: int) -> np.ndarray:
-    """The hash of words[i:i+k] for every i it fits."""
+    """The hash of words[i:i+k] for every i it fits; k is at most 64."""
     n = max(0, len(words) - k + 1)
     out = np.zeros(n, np.uint64)
     for j in range(k):

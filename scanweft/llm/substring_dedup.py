@@ -1,23 +1,26 @@
 """Substring dedup by FM-indexes (operator 4): removes every word in a window of words that starts elsewhere too.
 
-1. Scan one: in every window the 8-word gram of the least hash, the leftmost if tied, is its anchor. Equal
+1. Scan: in every window the 8-word gram of the least hash, the leftmost if tied, is its anchor. Equal
    windows have equal anchors at equal places. The windows around one anchor are a segment; equal segments
-   of a step's texts are one row of hashes and places, and rows are partitioned and sorted by anchor. Segments
-   whose anchor stands nowhere else hold no repeated window and go at once.
-2. Equal segments are one with a number of times. Their words are fetched, once for each distinct segment.
-3. Segments are dealt by anchor into shards sized for memory, so all occurrences of a window are in one
+   of a step's texts are one row of hashes and places, which is stored.
+2. Anchors are counted with partial sums; segments whose anchor stands nowhere else hold no repeated window
+   and go in a join, which Spark splits where one anchor has very many rows.
+3. Equal segments are one with a number of times. Their words are fetched, once for each distinct segment.
+4. Segments are dealt by anchor into shards sized for memory, so all occurrences of a window are in one
    shard. Each shard is an FM-index; every segment is streamed against it backward, and windows whose
    interval holds two occurrences or more are reported.
-4. An anchor with more than HOT distinct segments (the rim of a passage in very many documents) does not go
-   to one shard: its windows are counted by their 64-bit hashes beside the anchor's 64 bits, with partial
-   sums, which is exact up to a collision of 128 bits.
-5. Reported windows go back to all documents that hold the segment, and a last scan drops the words.
-
-Words are compared by 64-bit hashes within a shard; segments by 128 bits.
-
-Defined results: null, empty and blank texts have no words; texts shorter than a window keep all; rows that
-repeat an id are documents of their own (so equal rows remove each other's words like any repeats);
-an empty table gives no rows; other columns are ignored (kept by `deduplicated`).
+5. An anchor of more than HOT distinct segments (the rim of a passage in very many documents) is no one
+   shard's work: its segments are cut into single windows, those that stand nowhere else go by counts of their
+   hashes, and the distinct rest are segments of their own, fetched, dealt by anchor and window, and searched alike.
+6. Reported windows go back to all documents that hold the segment, and a last scan drops the words.
+
+Words are compared by 64-bit hashes within a shard; segments by 128 bits (anchor and content); texts of rows with
+one id, or without an id, are told apart by 128 bits.
+
+Defined results: null, empty and blank texts have no words; texts shorter than a window keep all; very long texts
+are scanned in stretches, whole; rows that repeat an id are documents of their own, and rows equal in id and text
+too (they remove each other's words like any repeats, and are worked on once); null ids stay; an empty table gives
+no rows; other columns, of whatever name, are ignored (kept by `deduplicated`).
 """
 
 from __future__ import annotations
@@ -28,20 +31,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scanweft.llm.fm_index import FMIndex
-from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, gram_hash, letter_values, prefix_hash, range_hash, steps, stored, trim, words_of
+from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, column, gram_hash, mix, plain, span_hash, steps, stored, trim, words_of
 
 WINDOW, GRAM = 35, 8
-#: Distinct segments of an anchor beyond which its windows are counted by hash.
+#: Distinct segments of an anchor beyond which its windows are segments of their own.
 HOT = 5000
-#: Words in the FM-index of a shard, about: it takes some 150 bytes each while it is built.
+#: Words in the FM-index of a shard, about: it takes some 120 bytes each while it is built.
 SHARD_WORDS = 1_000_000
 #: Windows of a document that are looked at in one go.
 STRETCH = 1 << 23
+#: Reported segments up to which they are broadcast (24 bytes each, some 100 in memory); more are joined by shuffle.
+BROADCAST_REPORTED = 200_000
 
 
 class Segments(NamedTuple):
@@ -64,7 +68,7 @@ def _least(keys: np.ndarray, span: int) -> np.ndarray:
 def segments_of(words: np.ndarray, row: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> Segments:
     """The segments of all texts of a buffer of word hashes. Each has at most window - gram + 1 windows."""
     span = window - gram + 1
-    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 5]
     for first in range(0, max(0, len(words) - window + 1), STRETCH):
         part = words[first : first + STRETCH + window - 1]
         own = row[first : first + STRETCH + window - 1]
@@ -79,125 +83,175 @@ def segments_of(words: np.ndarray, row: np.ndarray, window: int = WINDOW, gram:
         count = np.diff(np.append(start, len(at)))
         real = inside[start]
         start, count = start[real], count[real]
-        found.append([own[start], start + first, count, grams[at[start]].view(np.int64)])
-    row_, start, count, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
-    content = range_hash(prefix_hash(words), start, start + count + window - 1).view(np.int64)
-    return Segments(row_, start, count, anchor, content)
+        # grams end to end, the last one moved back to the segment's end, hold all of its words
+        ends, most = start + count + window - 1 - gram, int(count.max(initial=1)) + window - 1
+        tiles = np.stack([grams[np.minimum(start + j, ends)] for j in range(0, most, gram)])
+        sums = sum(mix(t + np.uint64(j)) for j, t in enumerate(tiles))
+        found.append([own[start], start + first, count, grams[at[start]].view(np.int64), mix(sums + count.astype(np.uint64)).view(np.int64)])
+    return Segments(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, word starts, word ends, row and hash of every word."""
-    raw, offsets = buffer_of(column)
+    raw, offsets = buffer_of(texts)
     starts, ends, row = words_of(raw, offsets)
-    return raw, starts, ends, row, range_hash(prefix_hash(letter_values(raw)), starts, ends)
-
+    return raw, starts, ends, row, span_hash(raw, starts, ends)
 
-def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their first column: those whose value stands in two rows or more, or that count for several."""
-    waiting, sent = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if waiting is not None:
-            batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-        key = batch.column(0).to_numpy()
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(start, len(key)))
-        keep = np.repeat(size > 1, size) | (key == sent if sent is not None else False) | (batch.column("times").to_numpy() > 1)
-        waiting = None if keep[-1] else batch.slice(len(key) - 1)
-        sent = key[-1] if keep[-1] else None
-        if keep.any():
-            yield batch.filter(pa.array(keep))
 
+#: How a document is told from others: by its id and 128 bits of its text. Rows equal in both are alike in every result.
+KEY = ["id", "k1", "k2"]
+_PLACE = {"id": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "start": pa.int32()}
+PLACE = "id:long,k1:long,k2:long,start:int"
+_FOUND = {"anchor": pa.int64(), "content": pa.int64(), "windows": pa.int32(), "times": pa.int64(), "at": pa.list_(pa.struct(list(_PLACE.items())))}
+FOUND = f"anchor long, content long, windows int, times long, at array<struct<{PLACE}>>"
+_CUT = {"anchor": pa.int64(), "content": pa.int64(), "times": pa.int64(), "words": pa.binary()}
+CUT = "anchor long, content long, times long, words binary"
+_RIM = {"anchor": pa.int64(), "content": pa.int64(), "times": pa.int64(), "j": pa.int32(), "hash": pa.int64(), **_PLACE}
+RIM = f"anchor long, content long, times long, j int, hash long, {PLACE.replace(':', ' ').replace(',', ', ')}"
+_REPORTED = {"anchor": pa.int64(), "content": pa.int64(), "bits": pa.int64()}
+REPORTED = "anchor long, content long, bits long"
 
-_FOUND = {"anchor": pa.int64(), "content": pa.int64(), "windows": pa.int32(), "times": pa.int32(), "at": pa.list_(pa.struct([("id", pa.int64()), ("mark", pa.int32()), ("start", pa.int32())]))}
-FOUND = "anchor long, content long, windows int, times int, at array<struct<id:long,mark:int,start:int>>"
-_CUT = {"anchor": pa.int64(), "content": pa.int64(), "times": pa.int64(), "words": pa.binary(), "j": pa.int32(), "hash": pa.int64()}
-CUT = "anchor long, content long, times long, words binary, j int, hash long"
 
+def _named(id_col: str, text_col: str) -> list[Column]:
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    return [F.coalesce(column(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text")]
 
-def _named(docs: DataFrame, id_col: str, text_col: str) -> list:
-    """How a document is told from others: its id, and 32 bits of its text where rows repeat an id."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("mark")]
 
+def _alike(step: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows of one key as one, and how many each stands for."""
+    keys = np.column_stack([step.column(k).to_numpy() for k in range(3)])
+    _, first, times = np.unique(keys, axis=0, return_index=True, return_counts=True)
+    if len(first) == step.num_rows:
+        return step, np.ones(step.num_rows, np.int64)
+    order = np.argsort(first)
+    return step.take(pa.array(first[order])), times[order]
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with repeated windows: id, mark and the places (start, bits of the windows from it)."""
-    bound_batches(docs.sparkSession)
-    base = docs.select(*_named(docs, id_col, text_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches):
-            _, _, _, row, hashes = _words(step.column(2))
+def _scan(window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in steps(batches):
+            step, copies = _alike(whole)
+            _, _, _, row, hashes = _words(step.column(3))
             s = segments_of(hashes, row, window, gram)
+            if not len(s.row):
+                continue
             first = np.searchsorted(row, np.arange(step.num_rows))
             # equal segments of the step's texts are one row with all their places
             order = np.lexsort((s.content, s.anchor))
             anchor, content = s.anchor[order], s.content[order]
-            head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]) if len(order) else [])
-            edges = np.append(head, len(order)).astype(np.int32)
+            head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
             own = pa.array(s.row[order])
-            places = pa.StructArray.from_arrays([step.column(0).take(own), step.column(1).take(own), pa.array((s.start - first[s.row])[order], pa.int32())], names=["id", "mark", "start"])
-            yield arrow_rows({"anchor": anchor[head], "content": content[head], "windows": s.windows[order][head], "times": np.diff(edges), "at": pa.ListArray.from_arrays(pa.array(edges), places)}, _FOUND)
+            places = pa.StructArray.from_arrays([*(step.column(k).take(own) for k in range(3)), pa.array((s.start - first[s.row])[order], pa.int32())], names=list(_PLACE))
+            at = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), places)
+            yield arrow_rows({"anchor": anchor[head], "content": content[head], "windows": s.windows[order][head], "times": np.add.reduceat(copies[s.row[order]], head), "at": at}, _FOUND)
 
-    found = base.mapInArrow(scan, FOUND).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(repeated_keys, FOUND)
-    found = stored(found, "segments")
-    distinct = found.groupBy("anchor", "content").agg(F.sum("times").alias("times"), F.min(F.get("at", F.lit(0))).alias("at"), F.max("windows").alias("windows"))
-    distinct = stored(distinct.select("anchor", "content", "times", "at.*", "windows"), "distinct-segments")
-    hot = stored(distinct.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    wanted = distinct.join(hot, "anchor", "left").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "times", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segments"))  # at most those of one document
-    fetched = base.join(wanted, ["id", "mark"]).select("text", "segments")
+    return run
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for step in steps(batches):
-            raw, starts, ends, row, hashes = _words(step.column(0))
-            lists = step.column(1)
-            owner = np.repeat(np.arange(step.num_rows), np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten()
-            start, windows, anchor, content, times, is_hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
-            yield raw, starts, ends, hashes, np.searchsorted(row, np.arange(step.num_rows))[owner] + start, windows, anchor, content, times, is_hot.astype(bool)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of words for each segment, or of a hash for each of its windows if its anchor is hot."""
-        for raw, starts, ends, hashes, first, windows, anchor, content, times, is_hot in places(batches):
-            mine = np.flatnonzero(~is_hot)
-            a, b = starts[first[mine]].tolist(), ends[first[mine] + windows[mine] + window - 2].tolist()
-            held, none = memoryview(raw), pa.nulls(len(mine))
-            yield arrow_rows({"anchor": anchor[mine], "content": content[mine], "times": times[mine], "words": [bytes(held[x:y]) for x, y in zip(a, b, strict=True)], "j": none, "hash": none}, _CUT)
-            mine = np.flatnonzero(is_hot)
-            if len(mine):
-                n = windows[mine].astype(np.int64)
-                at = np.repeat(mine, n)
-                j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                sums = range_hash(prefix_hash(hashes), first[at] + j, first[at] + j + window).view(np.int64)
-                yield arrow_rows({"anchor": anchor[at], "content": content[at], "times": times[at], "words": pa.nulls(len(at)), "j": j, "hash": sums}, _CUT)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _segments_at(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts that hold the wanted segments, each with those it is to give."""
+    lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "times")).alias("segments"))  # at most those of one document
+    return base.join(lists, KEY).select(*KEY, "text", "segments")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of texts with segments: bytes, word starts and ends, hashes, row and first word of each segment, and its own columns."""
+    met: set[tuple] = set()
+    for step in steps(batches):
+        key = list(zip(*(step.column(k).to_pylist() for k in range(3)), strict=True))
+        new = []
+        for k in key:  # of rows alike, a task's first gives the segments
+            new.append(k not in met)
+            met.add(k)
+        step = step.filter(pa.array(new))
+        raw, starts, ends, row, hashes = _words(step.column(3))
+        lists = step.column(4)
+        owner = np.repeat(np.arange(step.num_rows), np.diff(lists.offsets.to_numpy()))
+        start, windows, anchor, content, times = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        yield step, raw, starts, ends, hashes, owner, np.searchsorted(row, np.arange(step.num_rows))[owner] + start, start, windows, anchor, content, times
+
+
+def _cut(window: int):
+    """A row of words for each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw, starts, ends, _, _, first, _, windows, anchor, content, times in _places(batches):
+            a, b = starts[first].tolist(), ends[first + windows + window - 2].tolist()
+            held = memoryview(raw)
+            yield arrow_rows({"anchor": anchor, "content": content, "times": times, "words": [bytes(held[x:y]) for x, y in zip(a, b, strict=True)]}, _CUT)
+
+    return run
+
+
+def _rims(window: int):
+    """A row for each window of each segment: its hash and its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step, _, _, _, hashes, owner, first, start, windows, anchor, content, times in _places(batches):
+            n = windows.astype(np.int64)
+            at = np.repeat(np.arange(len(n)), n)
+            j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            own = pa.array(owner[at])
+            yield arrow_rows({"anchor": anchor[at], "content": content[at], "times": times[at], "j": j, "hash": gram_hash(hashes, window)[first[at] + j].view(np.int64), **{k: step.column(i).take(own) for i, k in enumerate(KEY)}, "start": start[at] + j}, _RIM)
+
+    return run
+
+
+def _search(window: int):
+    """A shard: the bits of the windows with two occurrences or more, for each segment that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         shard = pa.Table.from_batches(held).combine_chunks()
         held.clear()
+        names = np.column_stack([shard.column(k).to_numpy() for k in ("anchor", "content")])
+        _, once = np.unique(names, axis=0, return_index=True)  # several tasks may give one segment
+        if len(once) < len(names):
+            shard, names = shard.take(pa.array(once)).combine_chunks(), names[once]
         _, _, _, row, hashes = _words(shard.column("words"))
-        times = shard.column("times").to_numpy()
-        index = FMIndex(hashes, np.bincount(row, minlength=shard.num_rows), times, window)
-        bits = np.array([int(((c > 1) << np.arange(len(c))).sum()) for c in index.window_counts()], np.int64)
-        some = pa.array(np.flatnonzero(bits))
-        yield arrow_rows({"anchor": shard.column("anchor").take(some).combine_chunks(), "content": shard.column("content").take(some).combine_chunks(), "bits": bits[bits != 0]}, {"anchor": pa.int64(), "content": pa.int64(), "bits": pa.int64()})
+        index = FMIndex(hashes, np.bincount(row, minlength=shard.num_rows), shard.column("times").to_numpy(), window)
+        counts, first = index.window_counts()
+        j = np.arange(len(counts)) - np.repeat(first, np.diff(np.append(first, len(counts))))
+        bits = np.add.reduceat((counts > 1).astype(np.int64) << j, first)
+        some = np.flatnonzero(bits)
+        yield arrow_rows({"anchor": names[some, 0], "content": names[some, 1], "bits": bits[some]}, _REPORTED)
         del index, hashes, row, shard
         trim()
 
-    total = distinct.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARD_WORDS))
-    pieces = stored(fetched.mapInArrow(cut, CUT), "pieces", compression="zstd")
-    reported = pieces.where("words is not null").select("anchor", "content", "times", "words").repartition(shards, "anchor").mapInArrow(search, "anchor long, content long, bits long")
+    return run
+
+
+def _searched(base: DataFrame, wanted: DataFrame, deal: list[str], window: int) -> DataFrame:
+    """The wanted segments (anchor, content, windows, times, key and start of one place), dealt into shards and searched."""
+    total = wanted.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
+    shards = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARD_WORDS))
+    return _segments_at(base, wanted).mapInArrow(_cut(window), CUT).repartition(shards, *deal).mapInArrow(_search(window), REPORTED)
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document with repeated windows: its KEY and the places (start, bits of the windows from it)."""
+    bound_batches(docs.sparkSession)
+    base = docs.select(*_named(id_col, text_col))
+    segments = stored(base.mapInArrow(_scan(window, gram), FOUND), "segments")
+    again = segments.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    live = stored(segments.join(again, "anchor", "left_semi"), "live-segments")
+    distinct = live.groupBy("anchor", "content").agg(F.sum("times").alias("times"), F.min(F.get("at", F.lit(0))).alias("at"), F.max("windows").alias("windows"))
+    distinct = stored(distinct.select("anchor", "content", "times", "at.*", "windows"), "distinct-segments")
+    hot = stored(distinct.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot-anchors")
+    reported = _searched(base, distinct.join(hot, "anchor", "left_anti"), ["anchor"], window)
     if hot.take(1):
-        rims = pieces.where("words is null")
-        twice = rims.groupBy("anchor", "hash").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", "hash")
-        reported = reported.union(rims.join(twice, ["anchor", "hash"]).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits")))
+        rims = stored(_segments_at(base, distinct.join(hot, "anchor", "left_semi")).mapInArrow(_rims(window), RIM), "rims")
+        twice = rims.groupBy("anchor", "hash").agg(F.sum("times").alias("times"), F.min(F.struct(*_PLACE)).alias("at")).where("times > 1")
+        twice = stored(twice.select("anchor", F.col("hash").alias("content"), "times", "at.*", F.lit(1).alias("windows")), "rim-windows")
+        sure = _searched(base, twice, ["anchor", "content"], window).select("anchor", F.col("content").alias("hash"))
+        reported = reported.union(rims.join(sure, ["anchor", "hash"]).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits")))
     reported = stored(reported, "reported")
-    back = found.join(reported, ["anchor", "content"]).select(F.explode("at").alias("at"), "bits").select("at.*", "bits").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "bits")).alias("places"))  # at most those of one document
-    return stored(back, "repeats")
+    few = reported.count() <= BROADCAST_REPORTED
+    back = live.join(F.broadcast(reported) if few else reported, ["anchor", "content"]).select(F.explode("at").alias("at"), "bits").select("at.*", "bits")
+    # a set, as rows alike of several tasks name the same places; at most those of one document
+    return stored(back.groupBy(*KEY).agg(F.collect_set(F.struct("start", "bits")).alias("places")), "repeats")
 
 
 def _kept(step: pa.RecordBatch, text_at: int, places_at: int, window: int) -> tuple:
@@ -221,9 +275,11 @@ def _kept(step: pa.RecordBatch, text_at: int, places_at: int, window: int) -> tu
 
 
 def _joined(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    marked = repeats(docs, window, gram, id_col, text_col).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("places").alias("__places"))
-    keyed = docs.withColumns(dict(zip(["__own_id", "__own_mark"], _named(docs, id_col, text_col), strict=True)))
-    return keyed.join(marked, (F.col("__own_id") == F.col("__id")) & (F.col("__own_mark") == F.col("__mark")), "left").select(*docs.columns, "__places")
+    """docs with the places of each row as a last column. The names of docs' columns differ from all here."""
+    own = [f"own_{k}" for k in KEY]
+    marked = repeats(docs, window, gram, id_col, text_col)
+    keyed = docs.select("*", *(c.alias(o) for c, o in zip(_named(id_col, text_col), own, strict=False)))
+    return keyed.join(marked, [F.col(o) == F.col(k) for o, k in zip(own, KEY, strict=True)], "left").select(*docs.columns, "places")
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -231,7 +287,7 @@ DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the checksum of the kept words joined by spaces."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
@@ -263,23 +319,24 @@ def _texts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarra
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated words cut from their texts. A text that loses none stays as it is, to the byte;
     in others the kept words are joined by one space, with line feeds where the text had them between two."""
-    names = docs.columns
-    at, places_at = names.index(text_col), len(names)
+    rows, (own_id, own_text) = plain(docs, id_col, text_col)
+    names = rows.columns
+    at, places_at = names.index(own_text), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches, text_col):
+        for step in steps(batches, own_text):
             touched = step.column(places_at).is_valid().to_numpy(zero_copy_only=False)
             if touched.any():
-                rows = pa.array(np.flatnonzero(touched))
-                part = step.take(rows)
+                changed = pa.array(np.flatnonzero(touched))
+                part = step.take(changed)
                 raw, starts, ends, row, keep = _kept(part, at, places_at, window)
                 texts = step.column(at).to_pylist()
-                for i, cut in zip(rows.to_pylist(), _lines(raw, starts, ends, row, keep, part.num_rows), strict=True):
+                for i, cut in zip(changed.to_pylist(), _lines(raw, starts, ends, row, keep, part.num_rows), strict=True):
                     texts[i] = cut
                 step = step.set_column(at, step.schema.field(at), pa.array(texts, step.schema.field(at).type))
             yield step.select(names)
 
-    return _joined(docs, window, gram, id_col, text_col).mapInArrow(run, T.StructType(docs.schema.fields))
+    return _joined(rows, window, gram, own_id, own_text).mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def _lines(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, keep: np.ndarray, n: int) -> Iterator[str]:

@@ -1,14 +1,15 @@
 """Counts over whole texts that the quality operators share, vectorised over a buffer of many texts.
 
 Equal lines and windows are found by 64-bit hashes within one text, where a chance collision of n of
-them has a probability of n*n / 2**65.
+them has a probability of about n*n / 2**65. The hashes' numbers are fixed, so texts made against them on purpose
+could still collide.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from scanweft.llm.shared import SPACE, counts_by, gram_hash, letter_values, mix, prefix_hash, range_hash, words_of
+from scanweft.llm.shared import SPACE, counts_by, gram_hash, mix, span_hash, words_of
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_digits", "n_exclaim", "n_stops", "n_wide", "n_distinct"]
 _KINDS = ["other", "space", "inner", "symbol", "upper", "lower", "digit", "exclaim", "stop", "wide"]
@@ -54,15 +55,14 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends, row = words_of(raw, offsets)
     kinds = np.bincount(np.repeat(np.arange(n) * len(_KINDS), np.diff(offsets)) + _KIND[raw], minlength=n * len(_KINDS)).reshape(n, len(_KINDS))
     of = {k: kinds[:, i] for i, k in enumerate(_KINDS)}
-    letters = prefix_hash(letter_values(raw))
-    words = range_hash(letters, starts, ends)
+    words = span_hash(raw, starts, ends)
     # lines: ended by a line feed or by the text
     feeds = np.flatnonzero(raw == 10)
     line_ends, line_starts = np.sort(np.concatenate([feeds, offsets[1:]])), np.sort(np.concatenate([feeds + 1, offsets[:-1]]))
     line_row = np.repeat(np.arange(n), 1 + counts_by(np.searchsorted(offsets, feeds, side="right") - 1, n))
     before = np.searchsorted(starts, line_starts)
     real = (np.searchsorted(starts, line_ends) > before) & (line_ends > line_starts)
-    lines = range_hash(letters, line_starts[real], line_ends[real])
+    lines = span_hash(raw, line_starts[real], line_ends[real])
     real_row = line_row[real]
     order, same = _equal(mix(lines + real_row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     word_order, word_same = _equal(mix(words + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))

@@ -71,3 +71,19 @@ def test_awkward_documents(spark, docs, empty, rows):
         assert kept.columns == docs.columns and kept.count() == out.where("kept").count()
         assert qc.judged(empty, own, F.col("source"), F.col("lang")).count() == 0
     assert qc.filtered(docs, none, F.col("source"), F.col("lang")).count() == len(rows)
+
+
+def test_hosts_and_paths_of_urls(spark):
+    urls = {"https://www.Example.org:8080/a/b/c.html?x=/y#/z": ("example.org", "/a/"), "http://u:p@h.example/": ("h.example", "/"), "ftp://h.example": ("h.example", "/"), "http://h.example?q=/a/b/": ("h.example", "/"), "http://[::1]:80/x/y": ("[::1]", "/x/"), "no url": (None, None), "": (None, None), None: (None, None)}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r[0]: (r[1], r[2]) for r in rows.select("url", qc.host_of(rows.url), qc.path_of(rows.url)).collect()}
+    assert got == urls
+    deep = spark.createDataFrame([("http://h.example/a/b/c/d",)], "url string")
+    assert deep.select(qc.path_of(deep.url, 2)).first()[0] == "/a/b/"
+
+
+def test_columns_of_any_name_stay(spark):
+    table = spark.createDataFrame([(i, "Some plain words here.", "src", "en", "MINE", 0.5, "dot") for i in range(5)], "doc_id long, text string, source string, lang string, __host string, __posterior double, `a.b` string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = qc.filtered(table, labels, F.col("source"), F.col("lang"))
+    assert out.columns == table.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, table.collect()))

@@ -18,7 +18,7 @@ def test_words(texts):
     starts, ends, row = shared.words_of(raw, offsets)
     got = [(r, raw[a:b].tobytes()) for a, b, r in zip(starts.tolist(), ends.tolist(), row.tolist(), strict=True)]
     assert got == [(i, w) for i, t in enumerate(texts) for w in WORD.findall((t or "").encode())]
-    hashes = shared.byte_hash(raw, starts, ends)
+    hashes = shared.span_hash(raw, starts, ends)
     assert len(set(zip(hashes.tolist(), strict=True))) == len({w for _, w in got})
 
 
@@ -36,11 +36,20 @@ def test_sliced_columns_and_steps():
 
 def test_hashes_depend_on_content_alone():
     words = np.array([5, 6, 7, 5, 6, 7, 8, 5, 6], np.uint64)
-    p = shared.prefix_hash(words)
-    h = shared.range_hash(p, np.array([0, 3, 0, 1, 7]), np.array([3, 6, 2, 2, 9]))
-    assert h[0] == h[1] and h[2] == h[4] and len(set(h.tolist())) == 3
     g = shared.gram_hash(words, 3)
     assert g[0] == g[3] and len(set(g.tolist())) == 6
+    raw = np.frombuffer(b"abcabxabcab" + b"y" * 10000 + b"ab" + b"y" * 10000, np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 11, 10011, 10013]), np.array([3, 6, 9, 11, 10011, 10013, 20013])
+    h = shared.span_hash(raw, starts, ends).tolist()
+    assert h[0] == h[2] and h[3] == h[5] and h[4] == h[6] and len(set(h)) == 4
+
+
+def test_words_of_a_simple_pattern_differ():
+    for size in (64, 1024, 2048, 4096, 1 << 15):
+        odd = np.array([i.bit_count() & 1 for i in range(size)], np.uint8)
+        one, two = odd + ord("a"), ord("b") - odd
+        a, b = shared.span_hash(np.concatenate([one, two]), np.array([0, size]), np.array([size, 2 * size])).tolist()
+        assert a != b
 
 
 def test_a_session_keeps_a_lower_batch_size(spark):

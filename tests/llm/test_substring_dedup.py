@@ -4,11 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from scanweft.llm import substring_dedup as sd
-from scanweft.llm.fm_index import FMIndex
+from scanweft.llm.fm_index import Bits, FMIndex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -96,22 +95,51 @@ def test_index_counts():
         for s, t in zip(sequences, times.tolist(), strict=True):
             for i in range(len(s) - window + 1):
                 seen[tuple(s[i : i + window].tolist())] += t
-        for s, c in zip(sequences, index.window_counts(), strict=True):
-            assert c.tolist() == [seen[tuple(s[i : i + window].tolist())] for i in range(len(s) - window + 1)]
+        flat, slots = index.window_counts()
+        for s, at in zip(sequences, slots.tolist(), strict=True):
+            n = max(0, len(s) - window + 1)
+            assert flat[at : at + n].tolist() == [seen[tuple(s[i : i + window].tolist())] for i in range(n)]
         for pattern, n in list(seen.items())[:5]:
             assert index.count(np.array(pattern, np.uint64)) == n
         assert index.count(np.array([5], np.uint64)) == 0
 
 
-def test_repeated_keys_however_batches_are_cut():
-    rng = random.Random(4)
-    for _ in range(200):
-        rows = sorted((rng.randrange(15), rng.choice([1, 1, 1, 2])) for _ in range(rng.randint(0, 40)))
-        count = Counter(k for k, _ in rows)
-        batches, at = [], 0
-        while at < len(rows):
-            to = at + rng.choice([1, 1, 2, 5, 20])
-            batches.append(pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at:to]], pa.int64()) for c in (0, 1)], names=["anchor", "times"]))
-            at = to
-        got = [tuple(r.values()) for b in sd.repeated_keys(iter(batches)) for r in b.to_pylist()]
-        assert got == [(k, n) for k, n in rows if count[k] > 1 or n > 1]
+def test_bit_vectors_are_small_and_exact():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 63, 64, 511, 512, 513, 5000):
+        for bit in (rng.random(n) < 0.5, np.repeat(rng.random(-(-n // 300)) < 0.5, 300)[:n], np.zeros(n, bool), np.ones(n, bool)):
+            at = np.arange(n + 1)
+            held = Bits(bit)
+            assert held.rank(at).tolist() == np.concatenate([[0], np.cumsum(bit)]).tolist() and held.total == bit.sum()
+    runs = np.repeat(rng.random(200) < 0.5, 3000)
+    assert Bits(runs).bytes() < 0.75 * len(runs) / 8
+
+
+def test_rows_alike_are_worked_on_once(spark, monkeypatch):
+    rng = random.Random(5)
+    w = [f"a{rng.randrange(10_000)}" for _ in range(90)]
+    rows = [(7, " ".join(w))] * 2000 + [(None, " ".join(w[20:80] + ["end"]))] * 300 + [(None, f"short {i}") for i in range(50)] + [(8, " ".join(w[:34]))]
+    seen = []
+    real = sd.stored
+    monkeypatch.setattr(sd, "stored", lambda df, name, **o: seen.append((name, real(df, name, **o))) or seen[-1][1])
+    assert got(spark, rows, 35, 8) == brute(rows, 35)
+    sizes = {name: df.count() for name, df in seen}
+    assert sizes["repeats"] == 2 and sizes["reported"] < 40 and sizes["live-segments"] < 400
+
+
+def test_null_ids_whose_marks_are_equal(spark, monkeypatch):
+    """Only one of the two hashes tells the texts apart."""
+    real = sd._named
+    monkeypatch.setattr(sd, "_named", lambda *a: [real(*a)[0], sd.F.lit(5).cast("long").alias("k1"), *real(*a)[2:]])
+    w = [f"a{i}" for i in range(60)]
+    rows = [(None, " ".join(w)), (None, " ".join(w[5:50])), (None, "short 1"), (None, "short 2"), (3, " ".join(w[:36]))]
+    assert got(spark, rows, 35, 8) == brute(rows, 35)
+
+
+def test_odd_columns_stay(spark):
+    w = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, w, "x", 2, 3, "own"), (2, "new " + w, "y", 4, 5, "mine")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, places int, own_id int, __places string")
+    out = sd.deduplicated(table)
+    assert out.columns == table.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "", "x", 2, 3, "own"), (2, "new", "y", 4, 5, "mine")]

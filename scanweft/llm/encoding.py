@@ -56,7 +56,7 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes of `dtype`.
+    """Ids of texts as little-endian bytes of `dtype`, 16 bits only where every id of the vocabulary has room.
 
     special: whether special tokens in a text get their own ids, the library's default, or are encoded as plain text.
     """
@@ -68,6 +68,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not special
+        if np.dtype(dtype).itemsize == 2 and max(self.library.get_vocab().values(), default=0) >= 1 << 16:
+            dtype = "<u4"
         self.dtype, self.code, self.model, self.table = np.dtype(dtype), {2: "H", 4: "I"}[np.dtype(dtype).itemsize], self.library.model, {c: "".join(byte_letters()[b] for b in chr(c).encode()) for c in range(256)}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

@@ -23,6 +23,9 @@ import regex
 REMEMBERED = 500_000
 #: Characters that are their own NFC form and whose lower case depends on no neighbour.
 PLAIN = re.compile(r"[\t\n\x20-\x7eÀ-ÿ]*")
+#: White space other than the space and the line feed: of ASCII, and beyond.
+RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+RARE_WIDE = "".join(chr(c) for c in range(0x80, 0x10000) if chr(c).isspace())
 #: The split of byte-level tokenizers that name none.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -86,22 +89,27 @@ class Encoder:
             self.kind = ""
         self.added = tuple(t["content"] for t in own)
         self.words = _Pieces(self._merge)
-        self.first = _Pieces(self._piece)
-        self.later = self.first if self.kind == "unspaced" else _Pieces(lambda p: self._piece(" " + p))
+        self.first = _Pieces(lambda p: self._piece(p, "", self.first))
+        self.later = self.first if self.kind == "unspaced" else _Pieces(lambda p: self._piece(p, " ", self.later))
         self.odd = re.compile(r"(?:^|\s) | (?:\s|$)")
 
     def _merge(self, word: str) -> bytes:
-        letters = word if word.isascii() and word.isalpha() else word.translate(self.table)
+        if word.isascii() and (word.isalpha() or word[1:].isalpha() and word[0] == " "):
+            letters = word if word[0] != " " else self.table[32] + word[1:]
+        else:
+            letters = word.translate(self.table)
         return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str, lead: str, alike: _Pieces) -> bytes:
+        """The ids of a piece with `lead` before it, new to the memory `alike`."""
         if not (piece.isascii() or PLAIN.fullmatch(piece)):
-            return self.whole(piece)
+            return self.whole(lead + piece)
         low = piece.lower() if self.kind == "unspaced" else piece
-        word, end = (low[:-1], low[-1]) if low.endswith((",", ".")) else (low, "")
-        if (word[1:] if word[:1] == " " else word).isalpha():  # as the patterns split it
-            return self.words[word] + self.words[end] if end else self._merge(word)
-        found = self.split.findall(low)
+        if low[-1:] in (",", ".") and low[:-1].isalpha():  # as the patterns split it
+            return alike[low[:-1]] + self.words[low[-1]]
+        if low.isalpha():
+            return self._merge(lead + low)
+        found = self.split.findall(lead + low)
         if len(found) == 1:
             return self._merge(found[0])  # the piece itself is remembered
         return b"".join([self.words[w] for w in found])
@@ -124,9 +132,9 @@ class Encoder:
         """Whether a space stands at an end or beside white space; a quick look settles most texts."""
         if "  " in text or text[:1] == " " or text[-1:] == " ":
             return True
-        if text.isascii() and not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
-            return " \n" in text or "\n " in text
-        return self.odd.search(text) is not None
+        if any(c in text for c in (RARE if text.isascii() else RARE + RARE_WIDE)):
+            return self.odd.search(text) is not None
+        return " \n" in text or "\n " in text
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""

@@ -1,17 +1,16 @@
 """Secret scans (operator 5): patterns, and an assignment-aware lexer.
 
-The lexer reads name-value pairs as source code and configuration files write them (=, :, :=, =>, quoted or
-bare keys, type annotations, joined literals), keeps the constants it has seen in the text, and follows a
-name on the right side to the literals behind it. A literal is reported when the name it reaches is
-sensitive and its own form is not that of a placeholder or a plain word. Names hold links to the expressions
-before them, and the score of joined literals follows from traits of the parts, so neither the number of
+`assignments` parses source code and configuration syntax into names and the literals that reach them, with constants
+followed through names. A literal is reported when the name it reaches is sensitive and its own form is not that of a
+placeholder or a plain word. The score of joined literals follows from traits of the parts, so neither the number of
 literals nor that of names on the way is limited, and work grows with the text.
 
 Texts go through it whole. Bytes that no pattern can do without (a separator, AKIA, a run of 16 hex
-digits) are looked for in the buffer of all texts first, so only texts that may match are lexed at all.
+digits) are looked for in the buffer of all texts first, and only texts that hold a part of a sensitive name are lexed.
 
-Defined results: a null text is empty; an empty table gives no rows; repeated rows each get their result; null
-ids stay; other columns are ignored.
+Defined results: a null text is empty; very long texts are lexed whole; an empty table gives no rows; repeated rows
+each get their result; null ids stay; spans that tie in place are told by kind; other columns, of whatever name, are
+ignored (kept by `redact`).
 """
 
 from __future__ import annotations
@@ -28,20 +27,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from scanweft.llm.assignments import Expression, assignments
 from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, column, plain, steps, texts
 
 KINDS = ["assign", "access", "hex", "literal"]
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
+#: One of these stands in every assignment.
+_PAIRING = np.zeros(256, bool)
+_PAIRING[list(b"=:(<")] = True
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
 
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z0-9_$]+)*"
-_STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`"""
-_BARE = r"""[^\s"'`,;(){}\[\]<>#+][^\s"'`,;(){}\[\]<>#]*"""
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_$.\-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::[\x20\t]*[A-Za-z][A-Za-z0-9_\[\]]*[\x20\t]*(?==))?(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?P<value>(?:{_STRING}|{_BARE})(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME})|[\x20\t]+\.[\x20\t]+(?:{_STRING}|{_NAME}))*)""")
-_PART = re.compile(rf"{_STRING}|{_BARE}")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: How strongly a word of a name says that its value is secret.
@@ -51,6 +49,8 @@ KEY_BEFORE = {"api", "access", "private", "signing", "encryption", "auth", "acco
 #: What stands for a secret without being one.
 PLACEHOLDERS = {"password", "passwd", "secret", "token", "changeme", "example", "placeholder", "none", "null", "true", "false", "undefined", "todo", "redacted", "required", "optional", "string", "your", "test", "dummy", "sample"}
 LEAST_SCORE = 0.5
+#: What every sensitive name holds a part of.
+_STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "signature", "salt")
 _ODD = re.compile(r"\s|\$\{|\{\{|%\(")
 _THREE = re.compile(r"[0-9]{3}")
 #: Characters kept of each end of a literal: more than any placeholder has.
@@ -67,7 +67,7 @@ class Span(NamedTuple):
 def name_score(name: str) -> float:
     """How sensitive a target name is, from 0 to 1."""
     words = [w.lower() for w in _WORDS.findall(name)]
-    best = max((SENSITIVE.get(w, 0.0) for w in words), default=0.0)
+    best = max((SENSITIVE.get(w, 0.0) or SENSITIVE.get(w.removesuffix("s"), 0.0) for w in words), default=0.0)
     for before, after in zip(words, words[1:], strict=False):
         if after in ("key", "keys") and before in KEY_BEFORE:
             best = max(best, 1.0)
@@ -131,62 +131,50 @@ def literal_score(value: str) -> float:
     return traits_score(traits(value))
 
 
-class Expression:
-    """The right side of an assignment: places of literals, and the expressions behind the names in it."""
-
-    __slots__ = ("known", "parts", "told")
-
-    def __init__(self, parts: list[tuple[int, int] | Expression]):
-        self.parts, self.known, self.told = parts, None, False
-
-    def traits(self, text: str) -> Traits:
-        """Of all its literals, joined. Each expression is worked out once."""
-        waiting = [self]
-        while waiting:
-            now = waiting[-1]
-            before = [p for p in now.parts if isinstance(p, Expression) and p.known is None] if now.known is None else []
-            if before:
+def traits_of(expression: Expression, text: str) -> Traits:
+    """Of all its literals, joined. Each expression is worked out once; a name that leads back to itself adds nothing."""
+    waiting = [expression]
+    while waiting:
+        now = waiting[-1]
+        if now.known is None and not now.open:
+            now.open = True
+            if before := [p for p in now.parts if isinstance(p, Expression) and p.known is None and not p.open]:
                 waiting += before
                 continue
-            waiting.pop()
-            if now.known is None:
-                now.known = reduce(traits_of_join, (p.known if isinstance(p, Expression) else traits(text[p[0] : p[1]]) for p in now.parts), traits(""))
-        return self.known
-
-    def literals(self) -> Iterator[tuple[int, int]]:
-        """The places of all its literals, without those that an earlier call has given."""
-        waiting = [self]
-        while waiting:
-            now = waiting.pop()
-            if not now.told:
-                now.told = True
-                for p in now.parts:
-                    if isinstance(p, Expression):
-                        waiting.append(p)
-                    else:
-                        yield p
+        waiting.pop()
+        if now.known is None:
+            own = (p.known or traits("") if isinstance(p, Expression) else traits(text[p[0] : p[1]]) for p in now.parts)
+            now.known = reduce(traits_of_join, own, traits(""))
+    return expression.known
+
+
+def alternatives(value: Expression) -> Iterator[Expression]:
+    """Each of the expressions that a name may stand for."""
+    waiting, met = [value], set()
+    while waiting:
+        now = waiting.pop()
+        if id(now) in met:
+            continue
+        met.add(id(now))
+        if now.options:
+            waiting += [p for p in now.parts if isinstance(p, Expression)]
+        else:
+            yield now
 
 
 def lexed(text: str) -> list[Span]:
-    """Literals that reach a sensitive name, however many there are; a name stands for the expression it was given last."""
-    known: dict[str, Expression] = {}
+    """Literals that reach a sensitive name, however many there are."""
+    low = text.lower()
+    if not any(stem in low for stem in _STEMS):
+        return []
     found: dict[tuple[int, int], Span] = {}
-    for pair in _PAIR.finditer(text):
-        parts: list[tuple[int, int] | Expression] = []
-        for part in _PART.finditer(text, *pair.span("value")):
-            word = part.group()
-            if word[0] in "\"'`":
-                parts.append((part.start() + 1, part.end() - 1))
-            elif word in known:
-                parts.append(known[word])
-            elif word not in "+.":
-                parts.append(part.span())
-        own = known[pair["name"]] = known[pair["name"].rpartition(".")[2]] = Expression(parts)
-        sure = name_score(pair["name"])
-        if sure and parts and sure * traits_score(own.traits(text)) >= LEAST_SCORE:
-            for start, end in own.literals():
-                if end > start:
-                    found[start, end] = Span("literal", start, end, start)
+    for name, value in assignments(text):
+        sure = name_score(name)
+        for own in alternatives(value) if sure else ():
+            if sure * traits_score(traits_of(own, text)) >= LEAST_SCORE:
+                for start, end in own.literals():
+                    if end > start:
+                        found[start, end] = Span("literal", start, end, start)
     return sorted(found.values(), key=lambda s: (s.start, s.end))
 
 
@@ -205,7 +193,7 @@ def spans_of(batch: pa.Array) -> dict[int, list[Span]]:
     def rows(at: np.ndarray) -> set[int]:
         return set(np.unique(np.searchsorted(offsets, at, side="right") - 1).tolist())
 
-    paired = rows(np.flatnonzero((raw == ord("=")) | (raw == ord(":"))))
+    paired = rows(np.flatnonzero(_PAIRING[raw]))
     keys = rows(np.flatnonzero((raw[:-3] == ord("A")) & (raw[1:-2] == ord("K")) & (raw[2:-1] == ord("I")) & (raw[3:] == ord("A")))) if len(raw) > 3 else set()
     edge = np.flatnonzero(np.diff(np.concatenate([[0], _HEX_BYTE[raw].view(np.int8), [0]])))
     runs = edge[1::2] - edge[::2] >= 16

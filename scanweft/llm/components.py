@@ -59,8 +59,9 @@ def _state(links: DataFrame) -> tuple:
 
 
 def _written(links: DataFrame) -> DataFrame:
-    """A round, in fewer files than there are shuffle partitions: links are few beside the rows that they join."""
-    return stored(links.coalesce(max(16, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), "links")
+    """A round, in fewer files than there are shuffle partitions: links are few beside the rows that they join. What
+    comes before keeps its tasks."""
+    return stored(links.repartition(max(16, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

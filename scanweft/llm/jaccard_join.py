@@ -5,14 +5,16 @@
    common within a task's texts are gathered, and the commonest, a bounded list, rank last below.
 2. Scan two: two sets with the least allowed similarity share a shingle among the first n - ceil(t n) + 1
    of each, in any one order. The order is: common ones last, then by hash. Rows (shingle, document) of
-   these prefixes are partitioned and sorted by shingle; those met once go at once.
+   these prefixes are stored; shingles are counted with partial sums, and the rows of those met once go in a join,
+   which Spark splits where one shingle has very many rows.
 3. Each prefix shingle links its documents to its first one, a star, so candidates grow with rows and
    not with pairs. Candidates pass the bound on sizes, then the signatures' bit counts: the bits that differ
    bound the symmetric difference from below and so the overlap from above. The rest are verified by
    intersecting the sorted arrays. Verified links give components.
 4. What stars alone miss is found exactly: where a shingle still joins several components, its classes are
-   laid in tiles of size bands (sets of a band link only with that and the next one), large tiles are
-   split into pairs of parts over tasks, and all pairs of unlike components within meet the same two bounds.
+   laid in tiles of size bands (sets of a band link only with that and the next one), and all pairs of unlike
+   components within meet the same two bounds. A shingle of more than PART rows is split into parts whose pairs
+   are tiles; the rows of its largest component, which can be nearly all, meet those of the others only.
    Sets that link share a least number of prefix shingles, which follows from both sizes: pairs met in fewer
    tiles go, the rest are verified. No similar pair of unlike components is left out, and pairs inside a
    component need no test, as they change no component.
@@ -20,9 +22,10 @@
 Hashes of 64 bits are compared only within pairs, where a chance collision has a probability of n*n / 2**64.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer words
-than a shingle is one shingle; rows with a null id link only to equal sets and else have a null component; rows that repeat an id are
-one document when links are followed, and each gets its row; an empty table gives no rows; other
-columns are ignored (kept by `deduplicated`).
+than a shingle is one shingle; very long texts are shingled whole; rows with a null id link only to equal sets and
+else have a null component; rows that repeat an id are one document when links are followed, and each gets its row;
+of sets that tie for the name of a class the smallest id wins; an empty table gives no rows; other columns, of
+whatever name, are ignored (kept by `deduplicated`).
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanweft.llm.components import components
-from scanweft.llm.shared import arrow_rows, buffer_of, gram_hash, mix, on_disk, span_hash, steps, stored, texts, words_of
+from scanweft.llm.shared import arrow_rows, buffer_of, column, gram_hash, mix, on_disk, plain, span_hash, steps, stored, texts, words_of
 
 #: Bits of the small signature that every comparison starts with, and at most of the wide one.
 BITS, MOST_BITS = 512, 1 << 17
@@ -45,8 +48,10 @@ COMMON, COMMON_IN_STEP = 200_000, 3
 #: Ids up to which a set of them is broadcast to filter a scan (under 100 bytes each in memory), and pairs up to which
 #: their roles are (under 200 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS, BROADCAST_PAIRS = 300_000, 150_000
-#: Classes of a tile's part, and members of a star that one task verifies.
-PART = 1024
+#: Classes of a tile's part, and pairs of a document that one task verifies.
+PART, STAR = 1024, 128
+#: Sets that a worker remembers having sent.
+MET = 200_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -183,7 +188,7 @@ def _prefixes(named: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
                 new[i] = key not in met
                 met.add(key)
             new &= n > 0
-            if len(met) > 1_000_000:
+            if len(met) > MET:
                 met.clear()
             late = np.zeros(len(s.row), bool)
             if len(last):
@@ -200,37 +205,10 @@ def _prefixes(named: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
     return named.where("doc_id is not null").mapInArrow(run, "shingle long, doc_id long")
 
 
-def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (shingle, doc_id): those whose shingle has two documents, with its first one."""
-    kept = [np.zeros(0, np.int64)] * 2
-    first, had = None, False  # of the last shingle so far: its first document, and whether it has gone out
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shingle, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        shingle, doc = np.concatenate([kept[0], shingle]), np.concatenate([kept[1], doc])
-        start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        size = np.diff(np.append(start, len(shingle)))
-        head = np.repeat(doc[start], size)
-        if first is not None and len(shingle) and shingle[0] == first[0]:
-            head[: size[0]] = first[1]
-        else:
-            had = False
-        again = np.repeat((size > 1), size)
-        if had:
-            again[: size[0]] = True
-        tail = start[-1]
-        out = again.copy()
-        one = size[-1] == 1 and not (had and len(start) == 1)
-        if one:  # undecided: the next batch may go on with it
-            out[tail:] = False
-        if out.any():
-            yield arrow_rows({"shingle": shingle[out], "doc_id": doc[out], "first": head[out]}, {"shingle": pa.int64(), "doc_id": pa.int64(), "first": pa.int64()})
-        if one:
-            kept, first, had = [shingle[tail:], doc[tail:]], None, False
-        else:
-            kept, first, had = [np.zeros(0, np.int64)] * 2, (shingle[tail], head[tail]), True
+def _met_again(prefixes: DataFrame) -> DataFrame:
+    """Rows (shingle, doc_id) of prefixes whose shingle has two or more, with its first document and how many it has."""
+    heads = prefixes.groupBy("shingle").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    return prefixes.join(heads, "shingle").select("shingle", "doc_id", "first", "rows")
 
 
 _PAIR = {"a": pa.int64(), "b": pa.int64()}
@@ -272,14 +250,14 @@ def _verified(pairs: DataFrame, named: DataFrame, rule: Rule) -> DataFrame:
     """The links among candidate pairs (a, b), by intersecting sorted arrays.
 
     A pair goes to the task of its document with more pairs (the centre); the centre's array is sent once for
-    every PART of its pairs, so a centre of very many is split over tasks and no pair carries two arrays.
+    every STAR of its pairs, so a centre of very many is split over tasks and no pair carries two arrays.
     """
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
     da, db = degree.select(F.col("id").alias("a"), F.col("d").alias("da")), degree.select(F.col("id").alias("b"), F.col("d").alias("db"))
     swap = (F.col("db") > F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") < F.col("a")))
     stars = pairs.join(da, "a").join(db, "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("doc_id"), F.greatest("da", "db").alias("d"))
-    stars = stored(stars.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("d") / PART)).cast("int")).select("centre", "part", "doc_id"), "stars")
+    stars = stored(stars.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("d") / STAR)).cast("int")).select("centre", "part", "doc_id"), "stars")
 
     centres = stars.select(F.col("centre").alias("doc_id"), "centre", "part").distinct()
     roles = centres.withColumn("member", F.lit(False)).unionByName(stars.withColumn("member", F.lit(True)))
@@ -346,9 +324,6 @@ def near_pairs(group: np.ndarray, n: np.ndarray, component: np.ndarray, side: np
         first = last
 
 
-_ROW = {"shingle": pa.int64(), "n": pa.int64(), "rep": pa.int64(), "component": pa.int64(), "small": pa.binary()}
-
-
 def _tile_pairs(table: pa.Table, key: list[str], rule: Rule) -> Iterator[np.ndarray]:
     """Candidate pairs of whole groups, sorted by key and size."""
     keys = np.column_stack([table.column(k).to_numpy() for k in key])
@@ -388,97 +363,70 @@ class Tally:
         self.held, self.rows = [], 0
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], most: int | None) -> Iterator[tuple[pa.Table, bool]]:
-    """Tables of whole groups of rows sorted by key; parts of a group of over `most` rows come alone, as large."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows sorted by key."""
     held: list[pa.RecordBatch] = []
-    rows, large = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = np.column_stack([batch.column(k).to_numpy() for k in key])
-        if large is not None:  # rows of a large group that goes on
-            end = int(np.argmax((keys != large).any(axis=1))) if (keys != large).any() else len(keys)
-            if end:
-                yield pa.Table.from_batches([batch.slice(0, end)]), True
-            if end == len(keys):
-                continue
-            batch, keys, large = batch.slice(end), keys[end:], None
         cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         last = int(cut[-1]) if len(cut) else 0
         if held and (last or (keys[0] != held_key).any()):
             if last:
                 held.append(batch.slice(0, last))
-            yield pa.Table.from_batches(held), False
-            held, rows = [], 0
+            yield pa.Table.from_batches(held)
+            held = []
         elif last:
-            yield pa.Table.from_batches([batch.slice(0, last)]), False
+            yield pa.Table.from_batches([batch.slice(0, last)])
         held.append(batch.slice(last))
-        rows, held_key = rows + batch.num_rows - last, keys[-1]
-        if most is not None and rows > most:
-            yield pa.Table.from_batches(held), True
-            held, rows, large = [], 0, held_key
+        held_key = keys[-1]
     if held:
-        yield pa.Table.from_batches(held), False
+        yield pa.Table.from_batches(held)
 
 
-def _tiles(met: DataFrame, of: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs of unlike components that share enough prefix shingles.
-
-    A shingle of at most PART rows is a tile. Larger ones are cut into size bands (a set meets its own band and
-    the next one only) and bands into parts, and pairs of parts are tiles. A pair that links shares a
-    number of prefix shingles that follows from both sizes, so pairs found in fewer tiles go.
-    """
-    base = float(np.log(rule.den / rule.num))
-    rows = met.join(of, "doc_id").select("shingle", "n", "rep", "component", "small")
+def _compared(rows: DataFrame, key: list[str], rule: Rule) -> DataFrame:
+    """The candidate pairs of tiles of at most two parts each, and in how many tiles of a task each was met."""
 
-    def one_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             for a, b, shared in found:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared), *(pa.nulls(len(a), t) for t in _ROW.values())], names=["a", "b", "shared", *_ROW])
+                yield arrow_rows({"a": a, "b": b, "shared": shared}, _PAIR | {"shared": pa.int64()})
 
         tally = Tally()
-        for table, large in _whole_groups(batches, ["shingle"], PART):
-            if large or max(np.unique(table.column("shingle").to_numpy(), return_counts=True)[1]) > PART:
-                shingle = table.column("shingle").to_numpy()
-                _, back, count = np.unique(shingle, return_inverse=True, return_counts=True)
-                big = (count[back] > PART) | large
-                for part in table.filter(pa.array(big)).to_batches():
-                    none = pa.nulls(part.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, *(part.column(k) for k in _ROW)], names=["a", "b", "shared", *_ROW])
-                table = table.filter(pa.array(~big))
-            if table.num_rows:
-                yield from rows_of(tally.add(_tile_pairs(table, ["shingle"], rule)))
+        for table in _whole_groups(batches, key):
+            yield from rows_of(tally.add(_tile_pairs(table, key, rule)))
         yield from rows_of(tally.out())
 
-    first = on_disk(rows.repartition("shingle").sortWithinPartitions("shingle", "n", "rep").mapInArrow(one_tile, "a long, b long, shared long, shingle long, n long, rep long, component long, small binary"))
-    pairs = first.where("a is not null").select("a", "b", "shared")
-    large = first.where("a is null").select(*_ROW)
-    if large.take(1):
-        own = large.withColumn("band", F.floor(F.log("n") / base + 1e-9).cast("int"))
-        size = stored(own.groupBy("shingle", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "bands")
-        own = own.join(size, ["shingle", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-        kept = ["side", "n", "rep", "component", "small"]
-        # two parts of a band meet in one tile (i <= j); a band's part and each part of the band above meet in another
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("k")
-        same = own.select("*", each("parts")).withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k"))
-        same = same.select("shingle", F.col("band").alias("low"), F.col("band").alias("high"), "i", "j", F.when(F.col("i") == F.col("j"), 0).when(F.col("part") == F.col("i"), 1).otherwise(2).alias("side"), *kept[1:])
-        above, below = (size.select("shingle", (F.col("band") + d).alias("band"), F.col("parts").alias("others")) for d in (-1, 1))
-        lower = own.join(above, ["shingle", "band"]).select("*", each("others")).select("shingle", F.col("band").alias("low"), (F.col("band") + 1).alias("high"), F.col("part").alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"), *kept[1:])
-        upper = own.join(below, ["shingle", "band"]).select("*", each("others")).select("shingle", (F.col("band") - 1).alias("low"), F.col("band").alias("high"), F.col("k").alias("i"), F.col("part").alias("j"), F.lit(2).alias("side"), *kept[1:])
-        key = ["shingle", "low", "high", "i", "j"]
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tally = Tally()
-
-            def rows_of(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-                for a, b, shared in found:
-                    yield arrow_rows({"a": a, "b": b, "shared": shared}, _PAIR | {"shared": pa.int64()})
-
-            for table, _ in _whole_groups(batches, key, None):
-                yield from rows_of(tally.add(_tile_pairs(table, key, rule)))
-            yield from rows_of(tally.out())
-
-        pairs = pairs.union(same.union(lower).union(upper).repartition(*key).sortWithinPartitions(*key, "n", "rep").mapInArrow(compare, "a long, b long, shared long"))
+    return rows.repartition(*key).sortWithinPartitions(*key, "n", "rep").mapInArrow(run, "a long, b long, shared long")
+
+
+def _tiles(met: DataFrame, of: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs of unlike components that share enough prefix shingles.
+
+    A shingle of at most PART rows is a tile. Larger ones are cut into size bands (a set meets its own band and
+    the next one only) and bands into parts, and pairs of parts are tiles. The largest component of a shingle has
+    parts of its own, which meet those of the others but not each other, so a group of copies costs no more than its
+    rows. A pair that links shares a number of prefix shingles that follows from both sizes, so pairs found in
+    fewer tiles go.
+    """
+    base = float(np.log(rule.den / rule.num))
+    rows = met.join(of, "doc_id").select("shingle", "rows", "n", "rep", "component", "small")
+    pairs = _compared(rows.where(F.col("rows") <= PART).drop("rows"), ["shingle"], rule)
+    large = rows.where(F.col("rows") > PART)
+    if met.where(F.col("rows") > PART).take(1):
+        large = stored(large.dropDuplicates(["shingle", "rep"]).drop("rows").withColumn("band", F.floor(F.log("n") / base + 1e-9).cast("long")), "large-tiles")
+        most = large.groupBy("shingle", "component").count().groupBy("shingle").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("unlike"))
+        own = large.join(most.where("unlike > 1"), "shingle").withColumn("kind", 2 * F.col("band") + (F.col("component") == F.col("major")).cast("long")).drop("major", "unlike")
+        size = stored(own.groupBy("shingle", "kind").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts")), "bands")
+        other = size.select("shingle", F.col("kind").alias("its"), F.col("parts").alias("others"))
+        # kinds: two for each band, the odd one for the largest component
+        meet = (F.abs(F.floor(F.col("its") / 2) - F.col("band")) <= 1) & ((F.col("its") % 2 == 0) | (F.col("kind") % 2 == 0))
+        own = own.join(size, ["shingle", "kind"]).withColumn("me", F.col("kind") * (1 << 32) + F.pmod(F.xxhash64("rep"), "parts"))
+        own = own.join(other, "shingle").where(meet).withColumn("it", F.explode(F.sequence(F.col("its") * (1 << 32), F.col("its") * (1 << 32) + F.col("others") - 1)))
+        side = F.when(F.col("me") == F.col("it"), 0).when(F.col("me") < F.col("it"), 1).otherwise(2).cast("long")
+        tiled = own.select("shingle", F.least("me", "it").alias("low"), F.greatest("me", "it").alias("high"), side.alias("side"), "n", "rep", "component", "small")
+        pairs = pairs.union(_compared(tiled, ["shingle", "low", "high"], rule))
     counted = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(sizes.withColumnRenamed("rep", "a"), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("m")), "b")
     # both prefixes hold the first shared shingles for as long as those that only one set has leave room
     up = F.ceil(F.lit(rule.num) * (F.col("n") + F.col("m")) / (rule.num + rule.den) - 1e-9)  # the least overlap
@@ -487,38 +435,41 @@ def _tiles(met: DataFrame, of: DataFrame, sizes: DataFrame, rule: Rule) -> DataF
 
 
 class Join(NamedTuple):
+    """rows: doc_id, n_shingles, component_id of every document; links: verified pairs (a, b) of class names, enough to
+    connect what is linked and not all that there are, as pairs inside a component need no test."""
+
     rows: DataFrame
     links: DataFrame
 
 
 def joined(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> Join:
-    """rows: doc_id, n_shingles, component_id of every document; links: the verified pairs that connect classes."""
-    named = texts(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col)
+    """The components of docs, and links that connect them."""
+    named = texts(docs, column(id_col).cast("long").alias("doc_id"), text=text_col)
     sets = on_disk(_scan_sets(named, rule))
     common = _common(sets)
     key = ["n", "k1", "k2"]
     classes = stored(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.any_value("small").alias("small"), F.any_value("wide").alias("wide")), "classes")
     reps = classes.where("rep is not null").select("rep", "n", "small", "wide")
-    to_rep = sets.where("n > 0 and doc_id is not null").join(classes.select(*key, "rep"), key).select("doc_id", "rep")
-    met = _prefixes(named, rule, common).repartition("shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(_met_again, "shingle long, doc_id long, first long")
-    met = on_disk(met)
+    own = stored(sets.select("doc_id", *key), "sets")
+    sets.unpersist()
+    to_rep = own.where("n > 0 and doc_id is not null").join(classes.select(*key, "rep"), key).select("doc_id", "rep")
+    met = stored(_met_again(stored(_prefixes(named, rule, common), "prefixes")), "met")
     moved = stored(to_rep.where("doc_id <> rep"), "moved")
     stars = met.where("doc_id <> first").select("doc_id", "first").distinct()
     one, two = moved.select("doc_id", F.col("rep").alias("a")), moved.select(F.col("doc_id").alias("first"), F.col("rep").alias("b"))
     stars = stars.join(one, "doc_id", "left").join(two, "first", "left").select(F.coalesce("a", "doc_id").alias("a"), F.coalesce("b", "first").alias("b"))
     stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = on_disk(_verified(_bounded(stars, reps, rule), named, rule))
-    parts = stored(components(near), "parts").select(F.col("node").alias("doc_id"), "component")
+    links = stored(_verified(_bounded(stars, reps, rule), named, rule), "star-links")
+    parts = stored(components(links), "parts").select(F.col("node").alias("doc_id"), "component")
     of = to_rep.join(parts.withColumnRenamed("doc_id", "rep"), "rep", "left").join(classes.select("rep", "n", "small"), "rep").select("doc_id", "rep", "n", "small", F.coalesce("component", "rep").alias("component"))
-    rest = stored(_tiles(met.select("shingle", "doc_id"), of, reps.select("rep", "n"), rule), "rest")
-    links = near
+    rest = stored(_tiles(met.select("shingle", "doc_id", "rows"), of, reps.select("rep", "n"), rule), "rest")
     if rest.take(1):
-        more = on_disk(_verified(_bounded(rest, reps, rule), named, rule))
-        links = near.union(more)
+        more = stored(_verified(_bounded(rest, reps, rule), named, rule), "tile-links")
+        links = links.union(more)
         parts = stored(components(links), "parts").select(F.col("node").alias("doc_id"), "component") if more.take(1) else parts
     of = parts.withColumnRenamed("doc_id", "rep")
     whole = classes.join(of, "rep", "left").select(*key, F.coalesce("component", "rep").alias("class_component"))
-    rows = sets.select("doc_id", *key).join(whole, key, "left")
+    rows = own.join(whole, key, "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_component", "doc_id").alias("component_id"))
     return Join(rows, links)
 
@@ -526,14 +477,16 @@ def joined(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
 def deduplicated(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, the one of the smallest id; rows without an id all stay.
 
-    Of rows that repeat an id one stays. Texts are shuffled only if too many rows go to broadcast their ids.
+    Of rows that repeat an id, which are one document, one stays, or none where another document of the component has a
+    smaller id. Texts are shuffled only if too many rows go to broadcast their ids.
     """
-    rows = stored(joined(docs, rule, id_col, text_col).rows, "components")
-    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    twice = rows.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    if not twice.take(1):
-        return kept
-    single = kept.join(twice, F.col(id_col).cast("long") == F.col("__twice"), "left_anti")
-    again = kept.join(twice, F.col(id_col).cast("long") == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return single.unionByName(again)
+    own, (own_id, own_text) = plain(docs, id_col, text_col)
+    rows = stored(joined(own, rule, own_id, own_text).rows, "components")
+    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = own.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(own_id).cast("long") == F.col("gone"), "left_anti")
+    twice = rows.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
+    if twice.take(1):
+        single = kept.join(twice, F.col(own_id).cast("long") == F.col("twice"), "left_anti")
+        again = kept.join(twice, F.col(own_id).cast("long") == F.col("twice"), "left_semi").dropDuplicates([own_id])
+        kept = single.unionByName(again)
+    return kept.toDF(*docs.columns)

@@ -129,23 +129,59 @@ def test_streams_of_groups_however_batches_are_cut():
     rng = random.Random(8)
     for _ in range(200):
         rows = sorted((rng.randrange(12), rng.randrange(100)) for _ in range(rng.randint(0, 60)))
-        by = {}
+        by, whole = {}, {}
         for k, d in rows:
             by.setdefault(k, []).append(d)
-        # documents whose shingle is met again, with the first one
-        got = [tuple(r.values()) for b in jj._met_again(batches_of(rows, ["shingle", "doc_id"], rng)) for r in b.to_pylist()]
-        assert sorted(got) == sorted((k, d, v[0]) for k, v in by.items() if len(v) > 1 for d in v)
-        # whole groups, large ones in parts
-        whole, large = {}, {}
-        for table, is_large in jj._whole_groups(batches_of(rows, ["key", "x"], rng), ["key"], 8):
+        for table in jj._whole_groups(batches_of(rows, ["key", "x"], rng), ["key"]):
             keys = table.column("key").to_pylist()
-            assert not is_large or len(set(keys)) == 1
-            for k in set(keys):
-                assert is_large or k not in whole
+            assert not set(keys) & set(whole)
             for k, x in zip(keys, table.column("x").to_pylist(), strict=True):
-                (large if is_large else whole).setdefault(k, []).append(x)
-        assert not set(whole) & set(large)
-        assert {k: v for k, v in (whole | large).items()} == by
+                whole.setdefault(k, []).append(x)
+        assert whole == by
+
+
+def test_shingles_met_again(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(30), d) for d in range(60)]
+    by = {}
+    for k, d in rows:
+        by.setdefault(k, []).append(d)
+    got = sorted(map(tuple, jj._met_again(spark.createDataFrame(rows, "shingle long, doc_id long")).collect()))
+    assert got == sorted((k, d, min(v), len(v)) for k, v in by.items() if len(v) > 1 for d in v)
+
+
+def test_a_large_component_meets_only_others(spark, monkeypatch):
+    """One group of near copies fills a shingle's tiles; a few other sets share its shingles without a star to them."""
+    monkeypatch.setattr(jj, "PART", 4)
+    laid = []
+    real = jj._compared
+    monkeypatch.setattr(jj, "_compared", lambda rows, key, rule: laid.append((key, rows)) or real(rows, key, rule))
+    rng = random.Random(6)
+    words = [f"a{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(words)
+        w[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(6):  # these share many shingles with all, some of them enough
+        w = list(words)
+        for j in rng.sample(range(120), 2 + i):
+            w[j] = f"y{i}.{j}"
+        rows.append((100 + i, " ".join(w)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jj.joined(table).rows.collect()), key=str) == brute(rows, jj.Rule())
+    tiles = [df for key, df in laid if len(key) == 3]
+    assert tiles
+    for df in tiles:  # copies of rows stay in proportion to them
+        assert df.count() < 40 * 66 * 60 / 4
+
+
+def test_columns_of_any_name_stay(spark):
+    w = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, w, "x", 2, 3), (2, w, "y", 4, 5), (3, "other words", "z", 6, 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, gone int, __twice int")
+    out = jj.deduplicated(table)
+    assert out.columns == table.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
 
 
 def test_a_null_id_in_front_hides_no_set(spark):

@@ -2,13 +2,16 @@
 
 Pass one scatters rows into memory-sized buckets: the shard is a jump consistent hash of the document's
 id, so one more shard takes rows only into itself, and a seeded hash spreads each shard over as many
-sub-buckets as its bytes need. Pass two reads one bucket per task, shuffles it by Fisher-Yates with a
-seed of its own, and writes it as one file of the shard. Both passes depend on values alone, so a
-retried task writes the same rows in the same order. A shard is its buckets one after another, which
-gives every row its slot; the driver sees one count per bucket.
-
-Defined results: a null text has size 16 and checksum 0; rows with a null id are keyed as -1; repeated
-rows are all kept, each in a slot of its own; an empty table gives no rows; other columns are ignored.
+sub-buckets as its own bytes need. Equal rows have equal hashes, so those of a group that would fill a good part of a
+bucket get a running number into theirs and are spread like others. Pass two reads one bucket per task, shuffles it
+by Fisher-Yates with a seed of its own, and writes it as one file of the shard. Both passes depend on values alone
+(which of equal rows lies where makes no difference), so a retried task writes the same rows in the same order. A
+shard is its buckets one after another, which gives every row its slot; counts stay in tables.
+
+Defined results: a null text has size 16 and checksum 0; very long texts are rows like others, so a bucket is as
+large as its longest at least; rows with a null id are keyed as -1, all in one shard by the law, over as many buckets
+as they need; repeated rows are all kept, each in a slot of its own; an empty table gives no rows; other columns, of
+whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweft.llm.shared import bound_batches, mix, shared_dir
+from scanweft.llm.shared import bound_batches, column, mix, shared_dir, stored
 
 SHUFFLED = "doc_id long, text string, grown_shard int, shard int, sub int, pos long"
 #: A bucket's share of a core's part of an executor's memory: fetched, sent to Python, sorted, permuted, sent back, sorted
 #: into its shard and encoded as Parquet, it stands in memory in many forms, and garbage comes on top.
-BUCKET_SHARE = 1 / 128
+BUCKET_SHARE = 1 / 32
+#: Part of a bucket from which a group of equal rows is spread.
+SPREAD = 1 / 8
+#: Rows up to which a table of groups or buckets is broadcast (under 100 bytes each in memory).
+BROADCAST_ROWS = 100_000
 
 
 def memory_sized(spark: SparkSession) -> int:
@@ -70,12 +77,23 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int |
 
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    subs = max(1, -(-int(total) // (shards * (bucket_bytes or memory_sized(spark)))))
+    target = bucket_bytes or memory_sized(spark)
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     # the id alone goes through Python: the text stays in the JVM
-    keyed = rows.withColumn("to", shard_of(F.coalesce("doc_id", F.lit(-1).cast("long")))).select("doc_id", "text", "to.shard", "to.grown_shard", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(subs)).cast("int").alias("sub"))
-    scattered = keyed.repartitionById(shards * subs, F.col("shard") * subs + F.col("sub"))
+    keyed = rows.withColumn("to", shard_of(F.coalesce("doc_id", F.lit(-1).cast("long")))).select("doc_id", "text", "to.shard", "to.grown_shard", F.xxhash64("doc_id", "text").alias("group"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    groups = stored(keyed.groupBy("shard", "group").agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")), "row-groups")
+    many = groups.where((F.col("rows") > 1) & (F.col("bytes") > SPREAD * target)).select(F.col("group").alias("of"), F.ceil(F.col("bytes") / (SPREAD * target)).cast("long").alias("spread"))
+    spread = keyed.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, F.col("group") == F.col("of"), "left")
+    subs, buckets = {}, 0
+    for r in groups.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():  # a row per shard
+        subs[r["shard"]] = (max(1, -(-int(r["bytes"]) // target)), buckets)
+        buckets += subs[r["shard"]][0]
+    counts = spark.createDataFrame([(k, *v) for k, v in subs.items()], "of_shard int, subs long, first long")  # as long as the number of shards asked for
+    salt = F.when(F.col("spread").isNotNull(), F.pmod(F.monotonically_increasing_id(), "spread")).otherwise(0)
+    placed = spread.withColumn("salt", salt).join(F.broadcast(counts), F.col("shard") == F.col("of_shard"))
+    placed = placed.select("doc_id", "text", "shard", "grown_shard", F.pmod(F.xxhash64("doc_id", "text", "salt", F.lit(seed)), "subs").cast("int").alias("sub"), "first")
+    scattered = placed.repartitionById(max(1, buckets), (F.col("first") + F.col("sub")).cast("int")).drop("first")
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One bucket: in an order that depends on its rows alone, then permuted."""
@@ -97,9 +115,9 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int |
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     scattered.mapInArrow(shuffle, SHUFFLED).write.partitionBy("shard").parquet(path)
     files = spark.read.schema(SHUFFLED).parquet(path)
-    base, out = {}, []
-    for r in files.groupBy("shard", "sub").count().orderBy("shard", "sub").collect():  # one row per bucket
-        out.append((r["shard"], r["sub"], base.get(r["shard"], 0)))
-        base[r["shard"]] = base.get(r["shard"], 0) + r["count"]
-    bases = spark.createDataFrame(out, "shard int, sub int, base long")
-    return files.join(F.broadcast(bases), ["shard", "sub"]).select("doc_id", "text", "shard", (F.col("base") + F.col("pos")).alias("slot"), "grown_shard")
+    counts = files.groupBy("shard", "sub").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    bases = counts.select(F.col("shard").alias("of_shard"), F.col("sub").alias("of_sub"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    bases = F.broadcast(bases) if buckets <= BROADCAST_ROWS else bases
+    placed = files.join(bases, (F.col("shard") == F.col("of_shard")) & (F.col("sub") == F.col("of_sub")))
+    return placed.select("doc_id", "text", "shard", (F.col("base") + F.col("pos")).alias("slot"), "grown_shard")

@@ -27,6 +27,20 @@ def test_many_buckets_a_shard(docs, rows):
     check(rows, sharding.shard(docs, 3, bucket_bytes=2000).collect(), 3)
 
 
+def test_buckets_stay_small_whatever_repeats(spark, monkeypatch):
+    """Most rows equal, and most others without an id: no bucket is twice the size asked for."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding.uuid, "uuid4", lambda: type("Fixed", (), {"hex": "test-small"}))
+    monkeypatch.setattr(sharding, "stored", lambda df, name: df)
+    rows = [(7, "the same text again and again " * 10)] * 3000 + [(None, f"no id {i} " + "x" * 200) for i in range(2000)] + [(i, f"text {i}") for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check(rows, sharding.shard(table, 4, bucket_bytes=20_000).collect(), 4)
+    files = spark.read.parquet(f"{sharding.shared_dir(spark)}/shards-test-small")
+    sizes = [r[0] for r in files.groupBy("shard", "sub").agg(F.sum(F.octet_length("text") + 16)).select(F.col("sum((octet_length(text) + 16))")).collect()]
+    assert max(sizes) < 40_000 and len(sizes) > 60
+
+
 def test_order_is_repeatable_and_shuffled(spark):
     table = spark.createDataFrame([(i, f"t{i}") for i in range(3000)], "doc_id long, text string")
     a, b = ([(r.shard, r.slot, r.doc_id) for r in sharding.shard(t, 2).collect()] for t in (table, table.repartition(7)))

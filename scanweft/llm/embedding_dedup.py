@@ -11,18 +11,20 @@ rounds don't reach it, as with vectors that lie close together, blocks get fewer
 block of all. Every row is indexed and queried.
 
 A pair counts in the first round whose block it shares, so nothing about pairs leaves a task: only each
-class's number of links and a spanning forest of them. Blocks of more than PART classes are split into
-parts whose pairs are spread over tasks.
+class's number of links and a spanning forest of them. For that a tile needs its vectors, so every round sends them
+once through a shuffle; they are stored in no table between, and the signs of all rounds go with them as bits. Blocks
+of more than PART classes are split into parts whose pairs are spread over tasks.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
+Defined results: pairs at exactly the threshold link; vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
 id, link with nothing; vectors of different length never link; rows that repeat an id count as further
-vectors; an empty table gives no rows; other columns are ignored.
+vectors; very long vectors are compared whole; an empty table gives no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -31,13 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanweft.llm.components import components, forest
-from scanweft.llm.shared import arrow_rows, stored
+from scanweft.llm.shared import arrow_rows, column, stored
 
 SAMPLE = 2048
-BLOCK = 640
 PART = 1024
 PROJECTIONS = 32
 MOST_ROUNDS = 400
+#: Split blocks up to which their table is broadcast (under 100 bytes each in memory).
+BROADCAST_BLOCKS = 100_000
+BLOCK_ROWS = 640
+BLOCK = "round int, dim int, block long"
+_BLOCK = {"round": pa.int32(), "dim": pa.int32(), "block": pa.int64()}
+_OWN = {"rep": pa.int64(), "copies": pa.int64(), "vector": pa.binary(), "signs": pa.binary()}
+
+
+@lru_cache(8)
+def _planes(seed: int, count: int, dim: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim, 1]).standard_normal((count, dim))
 
 
 class Plan(NamedTuple):
@@ -52,18 +64,19 @@ class Plan(NamedTuple):
     threshold: float
     seed: int
 
-    def planes(self, dim: int) -> np.ndarray:
-        return np.random.default_rng([self.seed, dim, 1]).standard_normal((self.rounds * self.bits, dim))
-
     def lines(self, dim: int) -> np.ndarray:
         return np.random.default_rng([self.seed, dim, 2]).standard_normal((PROJECTIONS, dim))
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """The block of each unit vector in every round."""
+    def signs(self, x: np.ndarray) -> np.ndarray:
+        """The sides of all planes that each unit vector is on, eight to a byte."""
+        return np.packbits(x @ _planes(self.seed, self.rounds * self.bits, x.shape[1]).T > self.medians, axis=1)
+
+    def keys(self, signs: np.ndarray) -> np.ndarray:
+        """The block of each unit vector in every round, by its signs."""
         if not self.bits:
-            return np.zeros((len(x), self.rounds), np.int64)
-        signs = (x @ self.planes(x.shape[1]).T > self.medians).reshape(len(x), self.rounds, self.bits)
-        return signs @ (1 << np.arange(self.bits, dtype=np.int64))
+            return np.zeros((len(signs), self.rounds), np.int64)
+        sides = np.unpackbits(signs, axis=1, count=self.rounds * self.bits).reshape(len(signs), self.rounds, self.bits)
+        return sides @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
 def _binomial_tail(n: int, p: float, k: int) -> float:
@@ -78,7 +91,7 @@ def calibrated(sample: np.ndarray, classes: int, threshold: float, recall: float
     width = sigma
     inside = math.erf(width / sigma / math.sqrt(2))
     least = max(k for k in range(PROJECTIONS + 1) if _binomial_tail(PROJECTIONS, inside, k) >= 1 - (1 - recall) / 4)
-    bits = max(0, math.ceil(math.log2(max(1, classes) / BLOCK)))
+    bits = max(0, math.ceil(math.log2(max(1, classes) / BLOCK_ROWS)))
     exact = Plan(dim, np.zeros(0), 0, 1, width, least, threshold, seed)
     if not bits:
         return exact
@@ -89,7 +102,7 @@ def calibrated(sample: np.ndarray, classes: int, threshold: float, recall: float
     twins = threshold * sample + math.sqrt(1 - threshold**2) * away
     for bits in range(bits, 0, -1):
         plan = Plan(dim, np.zeros(MOST_ROUNDS * bits), bits, MOST_ROUNDS, width, least, threshold, seed)
-        planes = plan.planes(dim)
+        planes = _planes(seed, MOST_ROUNDS * bits, dim)
         met, rounds, medians = np.zeros(len(sample), bool), 0, []
         while rounds < MOST_ROUNDS and met.mean() < 1 - (1 - recall) / 2:
             own = planes[rounds * bits : (rounds + 1) * bits]
@@ -147,7 +160,7 @@ def tile_links(x: np.ndarray, keys: np.ndarray, side: np.ndarray, this_round: in
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
-    rows = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")), "vectors")
+    rows = stored(vectors.select(column(id_col).cast("long").alias("vec_id"), column(vector_col).alias("v")), "vectors")
     wide = rows.schema["v"].dataType.simpleString() != "array<float>"
     dtype = np.dtype("<f8" if wide else "<f4")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -159,31 +172,42 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
         return lone
 
     def planned(dim: int, count: int) -> Plan:
-        if count <= BLOCK:  # one block, whatever is sampled
+        if count <= BLOCK_ROWS:  # one block, whatever is sampled
             return calibrated(np.zeros((0, dim)), count, threshold, recall, seed)
         sampled = classes.where(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").select("v").limit(SAMPLE).collect()  # bounded
         return calibrated(_unit(np.array([r[0] for r in sampled], np.float64)), count, threshold, recall, seed)
 
     plans = {dim: planned(dim, count) for dim, count in lengths.items()}
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                lists = batch.column(0)
-                dims = np.diff(lists.offsets.to_numpy())
-                for dim in np.unique(dims).tolist():
-                    mine = np.flatnonzero(dims == dim)
-                    x = lists.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), dim)
-                    keys = plans[dim].keys(_unit(x))
-                    raw, held = [r.tobytes() for r in x.astype(dtype)], [k.tobytes() for k in keys]
-                    rep, copies = (batch.column(c).take(pa.array(mine)) for c in (1, 2))
-                    for r in range(plans[dim].rounds):
-                        yield arrow_rows({"round": np.full(len(mine), r), "dim": np.full(len(mine), dim), "block": keys[:, r], "rep": rep, "copies": copies, "vector": raw, "keys": held}, {"round": pa.int32(), "dim": pa.int32(), "block": pa.int64(), "rep": pa.int64(), "copies": pa.int64(), "vector": pa.binary(), "keys": pa.binary()})
-
-    dealt = stored(classes.select("v", "rep", "copies").mapInArrow(deal, "round int, dim int, block long, rep long, copies long, vector binary, keys binary"), "blocks")
-    sizes = dealt.groupBy("round", "dim", "block").agg(F.count("*").alias("c")).where("c > 1").withColumn("parts", F.ceil(F.col("c") / PART).cast("int")).drop("c")
-    parted = dealt.join(sizes, ["round", "dim", "block"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    def dealt(wide: bool):
+        """A row for each vector and round: its block, and with it the vector and its signs."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    lists = batch.column(0)
+                    dims = np.diff(lists.offsets.to_numpy())
+                    for dim in np.unique(dims).tolist():
+                        mine = np.flatnonzero(dims == dim)
+                        x = lists.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), dim)
+                        signs = plans[dim].signs(_unit(x))
+                        keys = plans[dim].keys(signs)
+                        own = {}
+                        if wide:
+                            own = {"rep": batch.column(1).take(pa.array(mine)), "copies": batch.column(2).take(pa.array(mine)), "vector": [r.tobytes() for r in x.astype(dtype)], "signs": [k.tobytes() for k in signs]}
+                        for r in range(plans[dim].rounds):
+                            yield arrow_rows({"round": np.full(len(mine), r), "dim": np.full(len(mine), dim), "block": keys[:, r], **own}, _BLOCK | (_OWN if wide else {}))
+
+        return run
+
+    # only blocks that are split are looked up; the vectors go from the scan to their tiles, stored nowhere between
+    counts = classes.select("v").mapInArrow(dealt(False), BLOCK).groupBy("round", "dim", "block").agg(F.count("*").alias("c"))
+    large = stored(counts.where(F.col("c") > PART).select(F.col("round").alias("r"), F.col("dim").alias("d"), F.col("block").alias("b"), F.ceil(F.col("c") / PART).cast("int").alias("parts")), "large-blocks")
+    few = large.count() <= BROADCAST_BLOCKS
+    parted = classes.select("v", "rep", "copies").mapInArrow(dealt(True), f"{BLOCK}, rep long, copies long, vector binary, signs binary")
+    parted = parted.join(F.broadcast(large) if few else large, (F.col("round") == F.col("r")) & (F.col("dim") == F.col("d")) & (F.col("block") == F.col("b")), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parted = parted.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     tiled = parted.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiled = tiled.withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k")).withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("part") == F.col("i"), 1).otherwise(2))
     key = ["round", "dim", "block", "i", "j"]
@@ -212,7 +236,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
             return
         plan = plans[at[1]]
         x = _unit(np.frombuffer(b"".join(tile.column("vector").to_pylist()), dtype).reshape(len(rep), at[1]))
-        keys = np.frombuffer(b"".join(tile.column("keys").to_pylist()), np.int64).reshape(len(rep), plan.rounds)
+        keys = plan.keys(np.frombuffer(b"".join(tile.column("signs").to_pylist()), np.uint8).reshape(len(rep), -(-plan.rounds * plan.bits // 8)))
         links, a_all, b_all = np.zeros(len(rep), np.int64), [], []
         for a, b in tile_links(x, keys, side, at[0], plan):
             np.add.at(links, a, copies[b])
@@ -227,7 +251,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
             to[a] = b
             yield arrow_rows({"rep": rep[some], "links": links[some], "to": rep[to[some]]}, out)
 
-    found = stored(tiled.select(*key, "side", "rep", "copies", "vector", "keys").repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "rep long, links long, to long"), "vector-links")
+    found = stored(tiled.select(*key, "side", "rep", "copies", "vector", "signs").repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "rep long, links long, to long"), "vector-links")
     parts = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     of = classes.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweft.functions import texts
 from scanweft.functions.codes import candidates, digits
 
+#: Characters that the field for typing a code takes.
+FIELD_LENGTH = 14
+
 
 def looked_up(scans: DataFrame, codes: DataFrame, raw: str = "raw") -> DataFrame:
     """scans with code (the candidate that matched, else null) and its record p, c, m; the first match wins.
@@ -31,6 +34,17 @@ def with_outcome(found: DataFrame, raw: str = "raw") -> DataFrame:
     return found.withColumns({"status": status, "ok": F.col("code").isNotNull(), "shown_code": F.coalesce("code", digits(F.col(raw)))})
 
 
+def typed(raw: Column) -> Column:
+    """A code as the field for typing takes it: its first FIELD_LENGTH characters, trimmed; null where nothing is left."""
+    return F.nullif(texts.trimmed(F.substring(raw, 1, FIELD_LENGTH)), F.lit(""))
+
+
+def entered(entries: DataFrame, codes: DataFrame, raw: str = "raw") -> DataFrame:
+    """Codes typed by hand with their outcome. They pass no gate, and an empty entry does nothing."""
+    own = entries.withColumn(raw, typed(F.col(raw))).where(F.col(raw).isNotNull())
+    return with_outcome(looked_up(own, codes, raw), raw)
+
+
 def misses(found: DataFrame, codes: DataFrame, raw: str = "raw") -> DataFrame:
     """Codes that nothing matched, with the number of codes there are."""
     n = codes.agg(F.count("*").alias("n_codes"))
@@ -62,6 +76,7 @@ def cards(hit: DataFrame) -> DataFrame:
         texts.badge(it["rank"]).alias("badge"),
         texts.price_label(it["layer"]).alias("price_label"),
         texts.price_text(it["price"]).alias("price_text"),
+        F.when(case.isNotNull(), texts.PRICE_LABELS["c"]).alias("case_price_label"),
         F.when(case.isNotNull(), texts.price_text(case["price"])).alias("case_price_text"),
         F.nullif(it["desc"], F.lit("")).alias("description"),
     )

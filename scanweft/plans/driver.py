@@ -117,8 +117,14 @@ def case_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resolve.cards(resolve.hits(_found(spark, sf_dir).where("form = 0"), items(spark, sf_dir)))
-    return out.select("code", "title", "path", "layer_label", "badge", "price_label", "price_text", "case_price_text", "description")
+    out = resolve.cards(resolve.hits(_found(spark, sf_dir), items(spark, sf_dir)))
+    return out.select("k", "form", "code", "title", "path", "layer_label", "badge", "price_label", "price_text", "case_price_label", "case_price_text", "description")
+
+
+def manual_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes typed by hand, with their outcome and what goes into the history."""
+    out = resolve.entered(raw_codes(spark, sf_dir), codes(spark, sf_dir))
+    return out.select("k", "form", F.col("raw").alias("typed"), "status", "ok", "shown_code", F.when(F.col("status") == "hit", F.col("p")).alias("item_id"))
 
 
 def clean_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,12 +201,22 @@ def catalog_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.problems(it, codes(spark, sf_dir)).select("kind", "ref")
 
 
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded history as a stream of three micro-batches, each of which writes a whole new version."""
+    source, out, state = (shared_path(spark, f"history-{x}") for x in ("in", "out", "state"))
+    _history(spark, sf_dir).repartition(3, F.col("seq")).write.option("maxRecordsPerFile", 0).parquet(source)
+    entries = spark.readStream.schema(catalog.HISTORY).option("maxFilesPerTrigger", 1).parquet(source)
+    stream_gate.keep_history(entries, out, state).trigger(availableNow=True).start().awaitTermination()
+    return stream_gate.latest_history(spark, out).select("device_id", "place", "seq", "code", "status", "item_id", "t_ms")
+
+
 def catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue as one JSON text, parsed again."""
+    """The catalogue as JSON texts in Base64, of a hundred items each with all their codes, parsed again."""
     it = items(spark, sf_dir).withColumnRenamed("item_id", "id").select(F.struct("id", "leaf", "name", "desc", "layer", "price", "rank", "bc").alias("it"))
-    # one database is one text by its nature; each row here is a database of one item and its code
-    one = it.join(codes(spark, sf_dir), F.col("code") == F.lpad(F.col("it.id").cast("string"), 13, "0"), "left")
-    text = F.to_json(F.struct(F.array("it").alias("items"), F.when(F.col("code").isNotNull(), F.map_from_arrays(F.array("code"), F.array(F.struct("p", "c", "m")))).alias("barcodes")))
+    own = it.join(codes(spark, sf_dir), F.col("code") == F.lpad(F.col("it.id").cast("string"), 13, "0"), "left").withColumn("db", F.floor(F.col("it.id") / 100))
+    entry = F.when(F.col("code").isNotNull(), F.struct("code", F.struct("p", "c", "m")))
+    one = own.groupBy("db").agg(F.array_sort(F.collect_list("it")).alias("items"), F.map_from_entries(F.collect_list(entry)).alias("barcodes"))  # a hundred items
+    text = F.to_json(F.struct("items", "barcodes"))
     parsed = one.select(F.decode(catalog.from_base64(F.base64(F.encode(text, "UTF-8"))), "UTF-8").alias("json")).select(catalog.parse(F.col("json")).alias("db")).select("db.*")
     loaded, index = catalog.unpacked(parsed)
     return loaded.join(index.select(F.coalesce("p", F.get("m", F.lit(0))).alias("item_id"), "code"), "item_id", "left").select("item_id", "position", "leaf", "name", "desc", "layer", "price", "rank", F.get("bc", F.lit(0)).alias("bc0"), "code")
@@ -208,7 +224,7 @@ def catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (code_candidates, barcode_lookup, lookup_outcome, miss_report, conflict_expand, case_price, item_card, clean_leaf, price_format, layer_labels, search_topk, search_many, search_hit_count, scan_gate, scan_gate_stream, history_recent, history_labels, history_json, history_from_json, code_count, catalog_problems, catalog_load)
+    for f in (code_candidates, barcode_lookup, lookup_outcome, miss_report, conflict_expand, case_price, item_card, manual_entry, clean_leaf, price_format, layer_labels, search_topk, search_many, search_hit_count, scan_gate, scan_gate_stream, history_recent, history_labels, history_json, history_from_json, history_stream, code_count, catalog_problems, catalog_load)
 }
 
 _ITEMS = """items AS (
@@ -278,7 +294,8 @@ ORACLE_SQL: dict[str, str] = {
     "miss_report": f"WITH {_FOUND} SELECT k, form, d AS shown_code, (SELECT count(*) FROM codes) AS n_codes FROM found WHERE code IS NULL",
     "conflict_expand": f"WITH {_ITEMS}, {_FOUND}, many AS (SELECT k, form, code, CAST(unnest(range(len(m))) AS INT) AS choice, unnest(m) AS item_id FROM found WHERE m IS NOT NULL) SELECT k, form, code, choice, many.item_id, {_LEAF.format('leaf')} AS title, name AS path FROM many LEFT JOIN items USING (item_id)",
     "case_price": f"WITH {_ITEMS}, {_FOUND} SELECT k, form, code, p AS item_id, {_price('i.price')} AS price_text, CASE WHEN j.item_id IS NOT NULL THEN {_price('j.price')} END AS case_price_text FROM found LEFT JOIN items i ON i.item_id = p LEFT JOIN items j ON j.item_id = c AND c <> p WHERE status = 'hit'",
-    "item_card": f"WITH {_ITEMS}, {_FOUND} SELECT code, {_LEAF.format('i.leaf')} AS title, i.name AS path, {_LAYER.format('i.layer', '—')} AS layer_label, CASE WHEN i.rank <> 0 THEN '熱銷 TOP ' || i.rank END AS badge, {_PRICE_LABEL.format('i.layer')} AS price_label, {_price('i.price')} AS price_text, CASE WHEN j.item_id IS NOT NULL THEN {_price('j.price')} END AS case_price_text, nullif(i.desc, '') AS description FROM found JOIN items i ON i.item_id = p LEFT JOIN items j ON j.item_id = c AND c <> p WHERE status = 'hit' AND form = 0",
+    "item_card": f"WITH {_ITEMS}, {_FOUND} SELECT k, form, code, {_LEAF.format('i.leaf')} AS title, i.name AS path, {_LAYER.format('i.layer', '—')} AS layer_label, CASE WHEN i.rank <> 0 THEN '熱銷 TOP ' || i.rank END AS badge, {_PRICE_LABEL.format('i.layer')} AS price_label, {_price('i.price')} AS price_text, CASE WHEN j.item_id IS NOT NULL THEN '箱價（c）' END AS case_price_label, CASE WHEN j.item_id IS NOT NULL THEN {_price('j.price')} END AS case_price_text, nullif(i.desc, '') AS description FROM found JOIN items i ON i.item_id = p LEFT JOIN items j ON j.item_id = c AND c <> p WHERE status = 'hit'",
+    "manual_entry": f"WITH {_FOUND.replace('regexp_replace(raw,', 'regexp_replace(trim(raw[:14]),')} SELECT k, form, trim(raw[:14]) AS typed, status, code IS NOT NULL AS ok, coalesce(code, d) AS shown_code, CASE WHEN status = 'hit' THEN p END AS item_id FROM found JOIN raws USING (k, form) WHERE trim(raw[:14]) <> ''",
     "clean_leaf": f"WITH {_ITEMS} SELECT item_id, leaf, {_LEAF.format('leaf')} AS title FROM items",
     "price_format": f"WITH x AS (SELECT p_partkey, p_retailprice, CASE WHEN p_partkey % 9 = 0 THEN -(p_size / 8.0 + p_partkey) ELSE p_size / 8.0 + p_partkey END::DOUBLE AS e FROM part) SELECT p_partkey, {_price('p_retailprice')} AS retail, {_price('e')} AS eighths FROM x",
     "layer_labels": f"WITH {_ITEMS}, x AS (SELECT *, CASE WHEN item_id % 23 = 0 THEN 'z' ELSE layer END AS l FROM items) SELECT item_id, {_LAYER.format('l', '—')} AS on_card, {_LAYER.format('l', '')} AS in_list, {_PRICE_LABEL.format('l')} AS price_label, CASE WHEN rank <> 0 THEN '熱銷 TOP ' || rank END AS badge, coalesce(bc0, '無條碼') AS barcode, CASE WHEN coalesce(rank, 0) = 0 THEN 999 ELSE rank END AS rank0, CAST(length(name) AS INT) AS name_length FROM x",
@@ -307,6 +324,7 @@ SELECT s.device_id, s.seq, s.t_ms, s.code, s.known FROM g JOIN s USING (device_i
     "history_from_json": f"WITH {_HISTORY} SELECT device_id, CAST(place AS INT) AS place, code, status, item_id, t_ms FROM newest",
     "code_count": f"WITH {_CODES} SELECT count(*) AS n_codes FROM codes",
     "catalog_problems": f"WITH {_ITEMS}, {_CODES}, own AS (SELECT * FROM items WHERE item_id % 107 <> 11), uses AS (SELECT code, unnest(coalesce(m, []) || [p, c]) AS item_id FROM codes) SELECT 'unknown layer' AS kind, CAST(item_id AS VARCHAR) AS ref FROM own WHERE item_id % 103 = 5 UNION ALL SELECT 'item id is not its position', CAST(item_id AS VARCHAR) FROM own WHERE item_id % 101 = 7 UNION ALL SELECT DISTINCT 'code names no item', code FROM uses WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM own)",
-    "catalog_load": f"WITH {_ITEMS}, {_CODES} SELECT item_id, CAST(0 AS INT) AS position, leaf, name, \"desc\", layer, price, rank, bc0, code FROM items LEFT JOIN codes ON code = lpad(CAST(item_id AS VARCHAR), 13, '0')",
+    "catalog_load": f"WITH {_ITEMS}, {_CODES} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id // 100 ORDER BY item_id) - 1 AS INT) AS position, leaf, name, \"desc\", layer, price, rank, bc0, code FROM items LEFT JOIN codes ON code = lpad(CAST(item_id AS VARCHAR), 13, '0')",
 }
 ORACLE_SQL["scan_gate_stream"] = ORACLE_SQL["scan_gate"]
+ORACLE_SQL["history_stream"] = ORACLE_SQL["history_recent"]

@@ -23,3 +23,10 @@ def test_entry_without_the_optional_parts(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries().keys() == e.oracle_sql().keys(); print(len(e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
     assert int(said.stdout) >= 20
+
+
+def test_entry_without_what_the_optional_parts_need(tmp_path):
+    (tmp_path / "public_tokenizers.py").write_text("raise ModuleNotFoundError('public_tokenizers')")
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries().keys() == e.oracle_sql().keys(); print(len(e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{ROOT}"}, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    assert int(said.stdout) >= 20

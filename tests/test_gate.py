@@ -61,6 +61,15 @@ def test_random_reads(spark):
             by[r.device_id] = (r.code, r.t_ms)
 
 
+def test_stretches_across_spans_and_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(gate, "SPAN_MS", 2000)
+    for seed, folded in ((3, 1000), (4, 5), (5, 0)):
+        monkeypatch.setattr(gate, "FOLDED", folded)
+        rows = made(seed, 300)
+        got = gate.accepted(spark.createDataFrame(rows, catalog.SCANS).repartition(5)).collect()
+        assert sorted((r.device_id, r.seq) for r in got) == plain(rows)
+
+
 def test_empty_and_null_codes(spark):
     assert gate.accepted(spark.createDataFrame([], catalog.SCANS)).count() == 0
     rows = [(1, 0, 0, None, None), (1, 1, 10, None, None), (None, 2, 0, "A", True)]

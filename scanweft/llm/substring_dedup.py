@@ -12,7 +12,8 @@
 5. An anchor of more than HOT distinct segments (the rim of a passage in very many documents) is no one
    shard's work: its segments are cut into single windows, those that stand nowhere else go by counts of their
    hashes, and the distinct rest are segments of their own, fetched, dealt by anchor and window, and searched alike.
-6. Reported windows go back to all documents that hold the segment, and a last scan drops the words.
+6. Reported windows go back to the steps of the scan that hold the segment, a row each, and from there to their
+   documents, a row each; a last scan drops the words.
 
 Words are compared by 64-bit hashes within a shard; segments by 128 bits (anchor and content); texts of rows with
 one id, or without an id, are told apart by 128 bits.
@@ -31,6 +32,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +104,8 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 KEY = ["id", "k1", "k2"]
 _PLACE = {"id": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "start": pa.int32()}
 PLACE = "id:long,k1:long,k2:long,start:int"
-_FOUND = {"anchor": pa.int64(), "content": pa.int64(), "windows": pa.int32(), "times": pa.int64(), "at": pa.list_(pa.struct(list(_PLACE.items())))}
-FOUND = f"anchor long, content long, windows int, times long, at array<struct<{PLACE}>>"
+_FOUND = {"step": pa.int64(), "anchor": pa.int64(), "content": pa.int64(), "windows": pa.int32(), "times": pa.int64(), "at": pa.list_(pa.struct(list(_PLACE.items())))}
+FOUND = f"step long, anchor long, content long, windows int, times long, at array<struct<{PLACE}>>"
 _CUT = {"anchor": pa.int64(), "content": pa.int64(), "times": pa.int64(), "words": pa.binary()}
 CUT = "anchor long, content long, times long, words binary"
 _RIM = {"anchor": pa.int64(), "content": pa.int64(), "times": pa.int64(), "j": pa.int32(), "hash": pa.int64(), **_PLACE}
@@ -129,7 +131,8 @@ def _alike(step: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
 
 def _scan(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in steps(batches):
+        part = TaskContext.get().partitionId()
+        for number, whole in enumerate(steps(batches)):
             step, copies = _alike(whole)
             _, _, _, row, hashes = _words(step.column(3))
             s = segments_of(hashes, row, window, gram)
@@ -143,7 +146,7 @@ def _scan(window: int, gram: int):
             own = pa.array(s.row[order])
             places = pa.StructArray.from_arrays([*(step.column(k).take(own) for k in range(3)), pa.array((s.start - first[s.row])[order], pa.int32())], names=list(_PLACE))
             at = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), places)
-            yield arrow_rows({"anchor": anchor[head], "content": content[head], "windows": s.windows[order][head], "times": np.add.reduceat(copies[s.row[order]], head), "at": at}, _FOUND)
+            yield arrow_rows({"step": np.full(len(head), part << 32 | number), "anchor": anchor[head], "content": content[head], "windows": s.windows[order][head], "times": np.add.reduceat(copies[s.row[order]], head), "at": at}, _FOUND)
 
     return run
 
@@ -223,6 +226,25 @@ def _search(window: int):
     return run
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a step's reported segments with all their places: a row for each document, its places in order."""
+    for batch in batches:
+        found = batch.column(0).flatten()
+        step = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy())
+        many = found.field(1).value_lengths().to_numpy()
+        step, bits = np.repeat(step, many), np.repeat(found.field(0).to_numpy(), many)
+        id_, k1, k2, start = (found.field(1).flatten().field(i).to_numpy() for i in range(4))
+        order = np.lexsort((start, id_, k2, k1, step))
+        step, bits, id_, k1, k2, start = (x[order] for x in (step, bits, id_, k1, k2, start))
+        if not len(order):
+            continue
+        same = (step[1:] == step[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (id_[1:] == id_[:-1])
+        head = np.flatnonzero(np.concatenate([[True], ~same]))
+        places = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(bits)], names=["start", "bits"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), places)
+        yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (id_, k1, k2)] + [lists], names=[*KEY, "places"])
+
+
 def _searched(base: DataFrame, wanted: DataFrame, deal: list[str], window: int) -> DataFrame:
     """The wanted segments (anchor, content, windows, times, key and start of one place), dealt into shards and searched."""
     total = wanted.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
@@ -249,9 +271,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
         reported = reported.union(rims.join(sure, ["anchor", "hash"]).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits")))
     reported = stored(reported, "reported")
     few = reported.count() <= BROADCAST_REPORTED
-    back = live.join(F.broadcast(reported) if few else reported, ["anchor", "content"]).select(F.explode("at").alias("at"), "bits").select("at.*", "bits")
-    # a set, as rows alike of several tasks name the same places; at most those of one document
-    return stored(back.groupBy(*KEY).agg(F.collect_set(F.struct("start", "bits")).alias("places")), "repeats")
+    back = live.join(F.broadcast(reported) if few else reported, ["anchor", "content"])
+    steps_of = back.groupBy("step").agg(F.collect_list(F.struct("bits", "at")).alias("found")).select("found")  # at most those of one step
+    own = steps_of.mapInArrow(_by_document, "id long, k1 long, k2 long, places array<struct<start:int,bits:long>>")
+    # rows alike of several steps have equal lists
+    return stored(own.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places")), "repeats")
 
 
 def _kept(step: pa.RecordBatch, text_at: int, places_at: int, window: int) -> tuple:

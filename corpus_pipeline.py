@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents. n_chars follows the text.
+
+Defined results, of all stages unless one says otherwise: a null or empty text is a text without words, very long texts are
+taken whole, rows with a null id stay (and are packed), an empty table gives no rows, and further columns of any name are kept
+up to the last stage, which returns pieces. Of equal texts with ids the one of the smallest id stays; rows that repeat
+an id are one document there; rows without an id are never taken for copies, but their repeated passages are cut.
 """
 
 from __future__ import annotations

@@ -97,6 +97,17 @@ def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
 
 
+def grouped(rows: DataFrame, key: str, *values: Column) -> DataFrame:
+    """rows grouped by a long key, to be joined with rows by that key where one key may have very many rows.
+
+    Spark splits a partition of a join only where both sides come straight from a shuffle for it. An aggregate by the
+    join's own key is joined where it was worked out, so all rows of a hot key would be one task's. Grouped by the
+    key's complement, the aggregate (a row per key) is shuffled once more, and the rows of a hot key are split.
+    """
+    own = rows.groupBy(F.bitwise_not(key).alias("complement")).agg(*values)
+    return own.select(F.bitwise_not("complement").alias(key), *(c for c in own.columns if c != "complement"))
+
+
 def trim() -> None:
     """Gives memory that is free back to the system: a worker serves task after task, of one operator after another."""
     pa.default_memory_pool().release_unused()

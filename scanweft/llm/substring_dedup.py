@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweft.llm.fm_index import FMIndex
-from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, column, gram_hash, mix, plain, span_hash, steps, stored, trim, words_of
+from scanweft.llm.shared import arrow_rows, bound_batches, buffer_of, column, gram_hash, grouped, mix, plain, span_hash, steps, stored, trim, words_of
 
 WINDOW, GRAM = 35, 8
 #: Distinct segments of an anchor beyond which its windows are segments of their own.
@@ -257,7 +257,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     bound_batches(docs.sparkSession)
     base = docs.select(*_named(id_col, text_col))
     segments = stored(base.mapInArrow(_scan(window, gram), FOUND), "segments")
-    again = segments.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    again = grouped(segments, "anchor", F.sum("times").alias("n")).where("n > 1").select("anchor")
     live = stored(segments.join(again, "anchor", "left_semi"), "live-segments")
     distinct = live.groupBy("anchor", "content").agg(F.sum("times").alias("times"), F.min(F.get("at", F.lit(0))).alias("at"), F.max("windows").alias("windows"))
     distinct = stored(distinct.select("anchor", "content", "times", "at.*", "windows"), "distinct-segments")

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scanweft.llm import shared
 
@@ -61,3 +62,22 @@ def test_a_session_keeps_a_lower_batch_size(spark):
         assert spark.conf.get(key).rstrip("b") == "1000"
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_hot_key_of_a_grouped_join_is_split(spark):
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000", "adaptive.skewJoin.skewedPartitionFactor": "2", "adaptive.advisoryPartitionSizeInBytes": "2000"}
+    before = {f"spark.sql.{k}": spark.conf.get(f"spark.sql.{k}", None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        rows = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") < 10_000, -7).otherwise(F.col("id")).alias("k"), F.hash("id").alias("v"))
+        got = rows.join(shared.grouped(rows, "k", F.count("*").alias("n"), F.max("v").alias("most")), "k")
+        assert got.columns == ["k", "v", "n", "most"]
+        found = got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
+    assert len(found) == 20_000 and {r["k"]: r["n"] for r in found} == {-7: 10_000, **{k: 1 for k in range(10_000, 20_000)}}
+    assert all(r["most"] == r["v"] for r in found if r["k"] >= 0) and {r["most"] for r in found if r["k"] < 0} == {max(r["v"] for r in found if r["k"] < 0)}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweft.llm.shared import arrow_rows, stored
+from scanweft.llm.shared import arrow_rows, grouped, stored
 
 _LINK = {"a": pa.int64(), "b": pa.int64()}
 
@@ -71,9 +71,9 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        least = grouped(both, "a", F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = grouped(large, "a", F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("l")).select(F.col("l.b").alias("a"), F.col("l.m").alias("b"))
         now = _written(small.where("a <> b").distinct())
         before, state = state, _state(now)

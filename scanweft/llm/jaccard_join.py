@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanweft.llm.components import components
-from scanweft.llm.shared import arrow_rows, buffer_of, column, gram_hash, mix, on_disk, plain, span_hash, steps, stored, texts, words_of
+from scanweft.llm.shared import arrow_rows, buffer_of, column, gram_hash, grouped, mix, on_disk, plain, span_hash, steps, stored, texts, words_of
 
 #: Bits of the small signature that every comparison starts with, and at most of the wide one.
 BITS, MOST_BITS = 512, 1 << 17
@@ -207,7 +207,7 @@ def _prefixes(named: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
 
 def _met_again(prefixes: DataFrame) -> DataFrame:
     """Rows (shingle, doc_id) of prefixes whose shingle has two or more, with its first document and how many it has."""
-    heads = prefixes.groupBy("shingle").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    heads = grouped(prefixes, "shingle", F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
     return prefixes.join(heads, "shingle").select("shingle", "doc_id", "first", "rows")
 
 
@@ -253,7 +253,7 @@ def _verified(pairs: DataFrame, named: DataFrame, rule: Rule) -> DataFrame:
     every STAR of its pairs, so a centre of very many is split over tasks and no pair carries two arrays.
     """
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    degree = grouped(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", F.count("*").alias("d"))
     da, db = degree.select(F.col("id").alias("a"), F.col("d").alias("da")), degree.select(F.col("id").alias("b"), F.col("d").alias("db"))
     swap = (F.col("db") > F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") < F.col("a")))
     stars = pairs.join(da, "a").join(db, "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("doc_id"), F.greatest("da", "db").alias("d"))
@@ -416,7 +416,7 @@ def _tiles(met: DataFrame, of: DataFrame, sizes: DataFrame, rule: Rule) -> DataF
     large = rows.where(F.col("rows") > PART)
     if met.where(F.col("rows") > PART).take(1):
         large = stored(large.dropDuplicates(["shingle", "rep"]).drop("rows").withColumn("band", F.floor(F.log("n") / base + 1e-9).cast("long")), "large-tiles")
-        most = large.groupBy("shingle", "component").count().groupBy("shingle").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("unlike"))
+        most = grouped(large.groupBy("shingle", "component").count(), "shingle", F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("unlike"))
         own = large.join(most.where("unlike > 1"), "shingle").withColumn("kind", 2 * F.col("band") + (F.col("component") == F.col("major")).cast("long")).drop("major", "unlike")
         size = stored(own.groupBy("shingle", "kind").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts")), "bands")
         other = size.select("shingle", F.col("kind").alias("its"), F.col("parts").alias("others"))

@@ -80,7 +80,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int |
     target = bucket_bytes or memory_sized(spark)
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     # the id alone goes through Python: the text stays in the JVM
-    keyed = rows.withColumn("to", shard_of(F.coalesce("doc_id", F.lit(-1).cast("long")))).select("doc_id", "text", "to.shard", "to.grown_shard", F.xxhash64("doc_id", "text").alias("group"))
+    keyed = rows.withColumn("to", shard_of(F.coalesce("doc_id", F.lit(-1).cast("long")))).select("doc_id", "text", "to.shard", "to.grown_shard", F.xxhash64("doc_id", "text").alias("group"), F.monotonically_increasing_id().alias("row"))  # numbered in the scan: a retried task gives the same numbers
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     groups = stored(keyed.groupBy("shard", "group").agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")), "row-groups")
     many = groups.where((F.col("rows") > 1) & (F.col("bytes") > SPREAD * target)).select(F.col("group").alias("of"), F.ceil(F.col("bytes") / (SPREAD * target)).cast("long").alias("spread"))
@@ -90,7 +90,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int |
         subs[r["shard"]] = (max(1, -(-int(r["bytes"]) // target)), buckets)
         buckets += subs[r["shard"]][0]
     counts = spark.createDataFrame([(k, *v) for k, v in subs.items()], "of_shard int, subs long, first long")  # as long as the number of shards asked for
-    salt = F.when(F.col("spread").isNotNull(), F.pmod(F.monotonically_increasing_id(), "spread")).otherwise(0)
+    salt = F.when(F.col("spread").isNotNull(), F.pmod("row", "spread")).otherwise(0)
     placed = spread.withColumn("salt", salt).join(F.broadcast(counts), F.col("shard") == F.col("of_shard"))
     placed = placed.select("doc_id", "text", "shard", "grown_shard", F.pmod(F.xxhash64("doc_id", "text", "salt", F.lit(seed)), "subs").cast("int").alias("sub"), "first")
     scattered = placed.repartitionById(max(1, buckets), (F.col("first") + F.col("sub")).cast("int")).drop("first")

@@ -274,8 +274,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     back = live.join(F.broadcast(reported) if few else reported, ["anchor", "content"])
     steps_of = back.groupBy("step").agg(F.collect_list(F.struct("bits", "at")).alias("found")).select("found")  # at most those of one step
     own = steps_of.mapInArrow(_by_document, "id long, k1 long, k2 long, places array<struct<start:int,bits:long>>")
-    # rows alike of several steps have equal lists
-    return stored(own.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places")), "repeats")
+    # rows alike of several steps have equal lists, each whole and in order of places: any of them will do
+    return stored(own.groupBy(*KEY).agg(F.any_value("places").alias("places")), "repeats")
 
 
 def _kept(step: pa.RecordBatch, text_at: int, places_at: int, window: int) -> tuple:
